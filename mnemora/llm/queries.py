@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm import cooccurrence
+from mnemora.llm import cooccurrence, neardup
 from mnemora.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +83,26 @@ from nab join na x on x.node = node_a join na y on y.node = node_b, tot where na
 }
 
 QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_scores": p2_scores}
+
+
+# ---- p5: near-duplicate segments ----
+SEGMENT_WORDS, SEGMENT_SIMILARITY = 3, 0.5
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf, "pool"), "pool_addr", "content", SEGMENT_WORDS, SEGMENT_SIMILARITY)
+    return found.pairs("addr_a", "addr_b").select("addr_a", "addr_b")
+
+
+def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every segment's class of near copies and its number of linked other texts."""
+    found = neardup.near_duplicates(table(spark, sf, "pool"), "pool_addr", "content", SEGMENT_WORDS, SEGMENT_SIMILARITY)
+    return found.classes().select(F.col("id").alias("pool_addr"), "class_id", "n_links")
+
+
+QUERIES |= {"p5_found": p5_found, "p5_classes": p5_classes}
+SQL["p5_found"] = """with d as (select distinct pool_addr, regexp_extract_all(lower(content), '[a-z0-9]+') w from pool where pool_addr is not null and content is not null),
+s as (select distinct pool_addr, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g from d where len(w) >= 3),
+n as (select pool_addr, count(*) n from s group by 1),
+c as (select a.pool_addr addr_a, b.pool_addr addr_b, count(*) i from s a join s b on a.g = b.g and a.pool_addr < b.pool_addr group by 1, 2)
+select addr_a, addr_b from c join n x on x.pool_addr = addr_a join n y on y.pool_addr = addr_b where 2 * i >= x.n + y.n - i"""
