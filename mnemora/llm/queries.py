@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm import cooccurrence, neardup
+from mnemora.llm import cooccurrence, leakage, neardup
 from mnemora.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,25 @@ s as (select distinct pool_addr, unnest(list_transform(range(1, len(w) - 1), lam
 n as (select pool_addr, count(*) n from s group by 1),
 c as (select a.pool_addr addr_a, b.pool_addr addr_b, count(*) i from s a join s b on a.g = b.g and a.pool_addr < b.pool_addr group by 1, 2)
 select addr_a, addr_b from c join n x on x.pool_addr = addr_a join n y on y.pool_addr = addr_b where 2 * i >= x.n + y.n - i"""
+
+
+# ---- p6: held-out passages in documents ----
+LEAK_WORDS = 12
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "passage", LEAK_WORDS)
+    return found.select("doc_id", "item_id").distinct()
+
+
+def p6_edited(spark: SparkSession, sf: str) -> DataFrame:
+    """Leaks of twelve words with at most one character changed, added or lost."""
+    return leakage.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "passage", LEAK_WORDS, 1)
+
+
+QUERIES |= {"p6_found": p6_found, "p6_edited": p6_edited}
+SQL["p6_found"] = """with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') w from documents),
+e as (select item_id, regexp_extract_all(lower(passage), '[a-z0-9]+') w from eval_items),
+gd as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g from d where len(w) >= 12),
+ge as (select distinct item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g from e where len(w) >= 12)
+select distinct doc_id, item_id from gd join ge using (g)"""
