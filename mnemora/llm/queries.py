@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm import cooccurrence, leakage, neardup
+from mnemora.llm import cooccurrence, leakage, mixing, neardup
 from mnemora.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,21 @@ e as (select item_id, regexp_extract_all(lower(passage), '[a-z0-9]+') w from eva
 gd as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g from d where len(w) >= 12),
 ge as (select distinct item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i:i + 11], ' '))) g from e where len(w) >= 12)
 select distinct doc_id, item_id from gd join ge using (g)"""
+
+
+# ---- p7: mixing sources to target weights ----
+def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
+    return mixing.mix(table(spark, sf, "documents"), "doc_id", "text", "source", table(spark, sf, "mix_targets"))
+
+
+def p7_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents drawn, in queue order."""
+    return _mix(spark, sf).selection.withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Share reached by each source, and its target."""
+    return _mix(spark, sf).shares
+
+
+QUERIES |= {"p7_selection": p7_selection, "p7_shares": p7_shares}
