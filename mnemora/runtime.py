@@ -84,7 +84,7 @@ def _clean() -> None:
 
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size; never less than the true size by design of its statistics for scans."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
