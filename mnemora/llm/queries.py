@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemora.llm import cooccurrence, leakage, mixing, neardup
+from mnemora.llm import cooccurrence, leakage, mixing, neardup, residue
 from mnemora.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -146,3 +146,17 @@ def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"p7_selection": p7_selection, "p7_shares": p7_shares}
+
+
+# ---- p8: template residue and error pages ----
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.find_residue(table(spark, sf, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents by the kinds of residue they hold."""
+    found = residue.find_residue(table(spark, sf, "documents"), "doc_id", "text")
+    return found.groupBy(F.array_join("kinds", "+").alias("kinds")).agg(F.count(F.lit(1)).alias("n_docs"))
+
+
+QUERIES |= {"p8_found": p8_found, "p8_kinds": p8_kinds}
