@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemora.plans import problems
+from mnemora.plans import node_queries, problems
 
-_MODULES = (problems,)
+_MODULES = (problems, node_queries)
 FLAGSHIP = problems.p1_found
 
 
