@@ -199,7 +199,7 @@ def find_residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     said = docs.select("d", F.explode(messages(F.col("t"))).alias("m")).select("d", mask(F.col("m")).alias("form"))
     said = materialize(said.select("d", F.xxhash64("form").alias("mid"), "form"), "messages")
     forms = materialize(said.groupBy("mid").agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("rows")), "forms")
-    templates = mine_templates(forms)
+    templates = materialize(mine_templates(forms), "templates")
     verdict = F.col("template").rlike("|".join(f"(?:{r})" for r in RULES)) | repeated(F.col("template"))
     judged = templates.groupBy("template").agg(F.first(verdict).alias("bad")).where("bad").select("template")
     wrong = templates.join(broadcast_if_small(judged), "template", "left_semi").select("mid", F.lit("message").alias("kind"))
