@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,26 +59,22 @@ def mean_of(vectors: str | Column, size: int) -> Column:
 
 def projection(dim: int, out: int = 1024, seed: int = 7):
     """Gaussian projection of the sparse code; the same for the same arguments."""
-    import numpy as np
-
     return np.random.default_rng(seed).standard_normal((dim, out))
 
 
 def sparse_code(dim: int, frac: float = 0.03, out: int = 1024, seed: int = 7):
     """Pandas UDF: sorted positions of the largest projected values, ceil(frac * out) of them at least 1; null for null."""
-    import numpy as np
-    import pandas as pd
-
     keep = max(1, int(np.ceil(frac * out)))
 
     def code(v: pd.Series) -> pd.Series:
         matrix = projection(dim, out, seed)
-        ok = v.map(lambda x: x is not None and len(x) == dim)
-        result = pd.Series([None] * len(v), index=v.index, dtype=object)
-        if ok.any():
-            p = np.stack(v[ok].map(np.asarray).to_list()) @ matrix
-            top = np.sort(np.argpartition(-p, keep - 1, axis=1)[:, :keep], axis=1)
-            result[ok] = list(top.astype(np.int32))
-        return result
+        out_rows: list = [None] * len(v)
+        ok = [i for i, x in enumerate(v) if x is not None and len(x) == dim]
+        if ok:
+            p = np.stack([np.asarray(v.iloc[i], np.float64) for i in ok]) @ matrix
+            top = np.sort(np.argpartition(-p, keep - 1, axis=1)[:, :keep], axis=1).astype(np.int32)
+            for i, t in zip(ok, top, strict=True):
+                out_rows[i] = t
+        return pd.Series(out_rows, index=v.index, dtype=object)
 
     return F.pandas_udf(code, "array<int>")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from mnemora.plans import node_queries, problems
+from mnemora.plans import graph_queries, node_queries, problems, vector_queries
 
-_MODULES = (problems, node_queries)
-FLAGSHIP = problems.p1_found
+_MODULES = (problems, node_queries, vector_queries, graph_queries)
+FLAGSHIP = vector_queries.q_chain_retrieve
 
 
 def queries() -> dict:

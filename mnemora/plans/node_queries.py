@@ -177,7 +177,7 @@ def q_health(spark: SparkSession, sf: str) -> DataFrame:
 select id, case when contains(lower(coalesce(body, '')), 'don''t') or contains(lower(coalesce(body, '')), 'do not') or contains(lower(coalesce(body, '')), 'stop ') or contains(lower(coalesce(body, '')), 'always ') or contains(lower(coalesce(body, '')), 'never ')
   or contains(lower(coalesce(body, '')), 'prefer ') or contains(lower(coalesce(body, '')), 'avoid ') then 'feedback'
   when regexp_matches(lower(coalesce(body, '')), 'i |my |we |i''m|i am ') and regexp_matches(lower(coalesce(body, '')), 'role|background|year|experience|engineer|scientist') then 'user'
-  when regexp_matches(lower(coalesce(body, '')), 'see |tracked in |lives at |url|https://|linear|grafana') then 'reference' else 'project' end from an""")
+  when regexp_matches(lower(coalesce(body, '')), 'see |tracked in |lives at |url|https://|linear|grafana') then 'reference' else 'project' end kind from an""")
 def q_kinds(spark: SparkSession, sf: str) -> DataFrame:
     """Kind of each node's text by key words."""
     return all_nodes(spark, sf).select("id", X.kind_of(F.coalesce("body", F.lit(""))).alias("kind"))
