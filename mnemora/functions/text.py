@@ -174,9 +174,12 @@ def erode(body: str | Column, key: str | Column, n: str | Column, seed: int = 0)
     """n visible characters masked, chosen by a hash of (seed, key, position); masked ones are not chosen again."""
     b, k, n = _c(body), _c(key), _c(n)
     chars = F.filter(F.split(b, ""), lambda c: c != "")
-    ranked = F.array_sort(F.filter(F.transform(chars, lambda c, i: F.when(~c.rlike(r"[\s·]"), F.struct(F.xxhash64(F.lit(seed), k, i).alias("h"), i.alias("i")))), lambda x: x.isNotNull()))
-    chosen = F.transform(F.slice(ranked, F.lit(1), n.cast("int")), lambda x: x["i"])
-    return F.when((n <= 0) | (b == ""), b).otherwise(F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(chosen, i), F.lit(ERODED)).otherwise(c)), ""))
+    hashes = F.transform(chars, lambda c, i: F.when(~c.rlike(rf"[\s{ERODED}]"), F.xxhash64(F.lit(seed), k, i)))
+    found = F.array_sort(F.array_compact(hashes))
+    last = F.get(found, F.least(n.cast("int"), F.size(found)) - 1)
+    # the bound is a lambda variable, so that it is worked out once and not for every character
+    masked = F.transform(F.array(last), lambda m: F.array_join(F.zip_with(chars, hashes, lambda c, h: F.when(h <= m, F.lit(ERODED)).otherwise(c)), ""))
+    return F.when((n <= 0) | (b == "") | last.isNull(), b).otherwise(F.get(masked, F.lit(0)))
 
 
 def intact_share(body: str | Column) -> Column:

@@ -132,7 +132,7 @@ def repair(nodes: DataFrame, anchors: DataFrame, strength: float = 1.0) -> DataF
     a = anchors.select("id", "anchor")
     out = nodes.join(a, "id", "left")
     has = F.col("anchor").isNotNull()
-    return out.withColumn("integrity", F.when(has, F.round(S.restore_integrity(F.coalesce("integrity", F.lit(1.0)), strength), 6)).otherwise(F.col("integrity"))).withColumn("body", F.coalesce("anchor", "body")).drop("anchor")
+    return out.withColumn("integrity", F.when(has, S.rounded(S.restore_integrity(F.coalesce("integrity", F.lit(1.0)), strength), 6)).otherwise(F.col("integrity"))).withColumn("body", F.coalesce("anchor", "body")).drop("anchor")
 
 
 def capture_anchors(anchors: DataFrame, nodes: DataFrame) -> DataFrame:
