@@ -32,7 +32,7 @@ def rounded(x, places: int = 4) -> Column:
 def days_since(last: str | Column, today: str | Column) -> Column:
     """Whole days, never negative; 9999 without a date."""
     d = F.datediff(_c(today) if isinstance(today, Column) else F.lit(today).cast("date"), _c(last))
-    return F.coalesce(F.greatest(d, F.lit(0)), F.lit(NEVER_DAYS))
+    return F.when(d.isNull(), F.lit(NEVER_DAYS)).otherwise(F.greatest(d, F.lit(0)))  # greatest() alone would skip the null
 
 
 def tier_for(relevance: str | Column) -> Column:

@@ -65,7 +65,7 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
 def entities(text: str | Column) -> Column:
     """Code spans, identifiers, file names, acronyms, numbers of issues, versions and capitalised phrases, in lower case."""
     t = F.coalesce(_c(text), F.lit(""))
-    code = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"`([^`\n]{2,40})`"), 1), F.trim), lambda s: (s != "") & ~s.rlike(r"^\d+$"))
+    code = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"`([^`\n]{2,40})`"), 1), lambda x: F.trim(x)), lambda s: (s != "") & ~s.rlike(r"^\d+$"))
     ids = F.filter(F.transform(_all(t, r"\b[a-zA-Z][a-zA-Z0-9]+(?:[_\-][a-zA-Z0-9]+){1,}\b"), F.lower), lambda s: (F.length(s) >= 5) & ~F.array_contains(_words(IDENTIFIER_STOP), s))
     files = _all(t, rf"[A-Za-z0-9_\-./]+\.(?:{FILE_ENDINGS})\b")
     caps = F.filter(_all(t, r"\b[A-Z]{3,}[0-9]*\b"), lambda s: (F.length(s) <= 12) & ~F.array_contains(_words(ALLCAPS_STOP), s))
@@ -198,7 +198,7 @@ def typed_scalar(raw: str | Column) -> Column:
     s = F.trim(_c(raw))
     low = F.lower(s)
     is_list = F.startswith(s, F.lit("[")) & F.endswith(s, F.lit("]"))
-    items = F.filter(F.transform(F.split(F.expr("substring(trim({0}), 2, length(trim({0})) - 2)".format(raw)) if isinstance(raw, str) else F.regexp_replace(s, r"^\[|\]$", ""), ","), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.split(F.regexp_replace(s, r"^\[|\]$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     number = F.when(F.contains(s, F.lit(".")), s.try_cast("double"))
     whole = F.when(~F.contains(s, F.lit(".")), s.try_cast("bigint"))
     is_bool = low.isin("true", "false")

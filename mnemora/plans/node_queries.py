@@ -14,12 +14,12 @@ from mnemora.sources.tables import table
 
 AT, LOW, HIGH = "2010-01-15", "2010-01-01", "2010-01-31"
 _TIER = "case when {0} >= 0.75 then 'hot' when {0} >= 0.5 then 'warm' when {0} >= 0.25 then 'cold' else 'frozen' end"
-_DAYS = f"coalesce(greatest(date_diff('day', last_access, date '{TODAY}'), 0), 9999)"
+_DAYS = f"case when last_access is null then 9999 else greatest(date_diff('day', last_access, date '{TODAY}'), 0) end"
 _RATE = "case material_grade when 'enriched' then 0.001 when 'fertile' then 0.01 when 'depleted' then 0.10 when 'waste' then 0.20 else 0.05 end"
 _CAPTURE = f"""case when coalesce(stc_capture_score, 0) <= 0 then 0.0 when coalesce(stc_capture_at, 0) <= 0 then least(1.0, stc_capture_score)
   else greatest(0.0, least(1.0, stc_capture_score * pow(0.5, greatest(0.0, ({NOW} - stc_capture_at) / 86400.0) / 3.0))) end"""
 _CLAMPED = "greatest(0.0, least(1.0, coalesce(salience, 0)))"
-_STEP = f"""(coalesce(relevance, 0.5) + ((case when {_DAYS} <= 7 then 0.5 else 0.0 end) - coalesce(relevance, 0.5)) * ({_RATE} * (1 - least(0.95, 0.9 * {_CLAMPED} + 0.5 * {_CAPTURE}))))"""
+_STEP = f"""(coalesce(relevance, 0.5) + ((case when ({_DAYS}) <= 7 then 0.5 else 0.0 end) - coalesce(relevance, 0.5)) * ({_RATE} * (1 - least(0.95, 0.9 * {_CLAMPED} + 0.5 * {_CAPTURE}))))"""
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -91,7 +91,7 @@ def q_decay_14(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {NODES_SQL} select id, round(greatest(0.0, 0.02 * (case when type = 'fact' then 0.25 else case lower(tier) when 'hot' then 0.25 when 'cold' then 2.5 when 'frozen' then 0.25 else 1.0 end end)
-  * (1 + least(3.0, {_DAYS} * 0.02)) * (1 - 0.9 * {_CLAMPED})), 8) rate, round({_CAPTURE}, 8) capture from nd""")
+  * (1 + least(3.0, ({_DAYS}) * 0.02)) * (1 - 0.9 * {_CLAMPED})), 8) rate, round({_CAPTURE}, 8) capture from nd""")
 def q_erosion_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Erosion rate and faded capture score."""
     rate = S.erosion_rate(S.days_since("last_access", TODAY), "tier", "salience", F.col("type").eqNullSafe("fact"))
@@ -150,7 +150,7 @@ select doc_id, entity from u""")
 def q_entity_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Three of the seven entity families, those whose patterns both engines read alike."""
     t = table(spark, sf, "documents").where("text is not null")
-    code = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"`([^`\n]{2,40})`"), 1), F.trim), lambda s: (s != "") & ~s.rlike(r"^\d+$"))
+    code = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"`([^`\n]{2,40})`"), 1), lambda x: F.trim(x)), lambda s: (s != "") & ~s.rlike(r"^\d+$"))
     parts = F.concat(code, F.regexp_extract_all("text", F.lit(r"\bv\d+(?:\.\d+){1,3}\b"), 0), F.regexp_extract_all("text", F.lit(r"#\d{3,}"), 0))
     return t.select("doc_id", F.explode(parts).alias("e")).select("doc_id", F.lower("e").alias("entity")).distinct()
 

@@ -254,7 +254,7 @@ def q_inject_fold(spark: SparkSession, sf: str) -> DataFrame:
     return hot.unionByName(packing.first_fit(c.where("tier = 'warm'"), ["tier"], ["rn"], "tokens", 360)).where("taken").select("id", "tier")
 
 
-@query(f"""with {NODES_SQL}, b as (select id, 0.5 * coalesce(relevance, 0) + 0.2 * pow(0.5, coalesce(greatest(date_diff('day', last_access, date '{TODAY}'), 0), 9999) / 14.0) + 0.15 * least(1.0, len(chains) / 8.0) + 0.10 * ln(1 + coalesce(access_count, 0)) / 5 s from nd)
+@query(f"""with {NODES_SQL}, b as (select id, 0.5 * coalesce(relevance, 0) + 0.2 * pow(0.5, case when last_access is null then 9999 else greatest(date_diff('day', last_access, date '{TODAY}'), 0) end / 14.0) + 0.15 * least(1.0, len(chains) / 8.0) + 0.10 * ln(1 + coalesce(access_count, 0)) / 5 s from nd)
 select id, round(s, 6) score from b where s is not null order by s desc, id limit 50""")
 def q_tier_flow(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes ranked for the hot tier by relevance, recency, degree and access."""
