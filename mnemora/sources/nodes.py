@@ -68,7 +68,7 @@ def render_nodes(nodes: DataFrame) -> DataFrame:
     rest = F.array_sort(F.array_except(F.map_keys("header"), F.coalesce("key_order", F.expr("cast(array() as array<string>)"))))
     keys = F.concat(F.filter(F.array_distinct(F.coalesce("key_order", F.expr("cast(array() as array<string>)"))), lambda k: F.map_contains_key("header", k)), rest)
     lines = F.transform(keys, lambda k: F.concat(k, F.lit(": "), F.element_at("header", k)))
-    text = F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), F.rtrim(F.coalesce("body", F.lit(""))), F.lit("\n"))
+    text = F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), F.regexp_replace(F.coalesce("body", F.lit("")), r"\s+$", ""), F.lit("\n"))
     return nodes.select("id", F.when(F.col("header").isNull(), F.coalesce("body", F.lit(""))).otherwise(text).alias("text"))
 
 
