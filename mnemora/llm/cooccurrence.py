@@ -100,8 +100,10 @@ class PairTable:
 
     def _write(self, table: str, df: DataFrame, keys: tuple[str, ...], touched: list[int] | None = None) -> None:
         folder = f"{self.path}/{table}/v{self.version}"
-        parts = max(self.buckets, shuffle_partitions(self.spark))
-        df.withColumn("bucket", self._bucket(*keys)).repartition(parts, *keys).write.partitionBy("bucket").parquet(folder)
+        # a bucket is cut into slices of the key's hash; a task writes whole slices, so there are as many files as slices
+        slices = -(-shuffle_partitions(self.spark) // self.buckets)
+        piece = F.pmod(F.xxhash64(F.lit(1), *keys), F.lit(slices))
+        df.withColumn("bucket", self._bucket(*keys)).repartition(self.buckets * slices, "bucket", piece).write.partitionBy("bucket").parquet(folder)
         for b in touched or ():
             self.where[table].pop(b, None)
         jvm = self.spark.sparkContext._jvm
