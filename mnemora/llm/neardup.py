@@ -31,9 +31,9 @@ from mnemora.runtime import materialize
 
 P = np.uint64(2**31 - 1)
 WORDS = 3  # 64-bit words of a sketch
-_SCHEMA = "key binary, n int, s0 bigint, s1 bigint, s2 bigint, anchors array<bigint>, shingles array<bigint>"
+_SCHEMA = "row bigint, key binary, n int, s0 bigint, s1 bigint, s2 bigint, anchors array<bigint>, shingles array<bigint>"
 _ARROW = pa.schema(
-    [("key", pa.binary()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("anchors", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))]
+    [("row", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("anchors", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))]
 )
 
 
@@ -106,7 +106,7 @@ def _fingerprints(k: int, cov: Covering, part_words: int = 400_000):
     weights = rng.integers(0, 2**63, (cov.tables, cov.n), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     seeds = rng.integers(0, 2**63, (1, cov.tables, 1), dtype=np.uint64)
 
-    def part(key: pa.Array, texts: pa.Array) -> pa.RecordBatch | None:
+    def part(key: pa.Array, texts: pa.Array, number: int) -> pa.RecordBatch | None:
         s, owner = _shingle_hashes(texts, k)
         if not len(s):
             return None
@@ -127,20 +127,24 @@ def _fingerprints(k: int, cov: Covering, part_words: int = 400_000):
         lists = lambda flat, sizes: pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(flat, pa.int64()))
         return pa.RecordBatch.from_arrays(
             [
-                key.take(pa.array(who)), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in sketch),
+                pa.array(number + np.arange(len(who)), pa.int64()), key.take(pa.array(who)), pa.array(n, pa.int32()), *(pa.array(x, pa.int64()) for x in sketch),
                 lists(anchors.ravel(), np.full(len(who), anchors.shape[1])), lists(s.view(np.int64), n),
             ],
             schema=_ARROW,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 36  # a number for each text, short in place of its key; stored with the sketches
         for b in batches:
             key, texts = b.column(0).cast(pa.binary()), b.column(1).cast(pa.string())
             size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False) // 6 + 64)
             lo = 0
             while lo < len(texts):
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + part_words)))
-                if (out := part(key.slice(lo, hi - lo), texts.slice(lo, hi - lo))) is not None:
+                if (out := part(key.slice(lo, hi - lo), texts.slice(lo, hi - lo), number)) is not None:
+                    number += out.num_rows
                     yield out
                 lo = hi
 
@@ -190,15 +194,15 @@ def near_duplicates(texts: DataFrame, id_column: str, text: str, k: int = 5, thr
     rows = rows.select("id", "words", F.when(enough, F.unhex(F.md5("words"))).alias("key"))
     reps = rows.where("key is not null").groupBy("key").agg(F.first("words").alias("words"))
     sketches = materialize(reps.mapInArrow(_fingerprints(k, cov), _SCHEMA), "sketches")
-    at = sketches.select("key", "n", "s0", "s1", "s2", F.explode("anchors").alias("anchor"))
-    a, b = (at.select("anchor", *(F.col(c).alias(f"{c}_{s}") for c in ("key", "n", "s0", "s1", "s2"))) for s in "ab")
+    at = sketches.select("row", "n", "s0", "s1", "s2", F.explode("anchors").alias("anchor"))
+    a, b = (at.select("anchor", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "s0", "s1", "s2"))) for s in "ab")
     distance = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    sizes = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold)
-    met = a.hint("merge").join(b, "anchor").where((F.col("key_a") < F.col("key_b")) & sizes & (distance <= cov.far))
-    candidates = met.select("key_a", "key_b").distinct()
-    sets = sketches.select("key", "n", "shingles")
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold
+    met = a.hint("merge").join(b, "anchor").where((F.col("row_a") < F.col("row_b")) & sizes & (distance <= cov.far))
+    candidates = met.select("row_a", "row_b").distinct()
+    sets = sketches.select("row", "key", "n", "shingles")
     left, right = (sets.select(*(F.col(c).alias(f"{c}_{s}") for c in sets.columns)) for s in "ab")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
-    links = candidates.join(left, "key_a").join(right, "key_b").withColumn("i", both)
+    links = candidates.join(left, "row_a").join(right, "row_b").withColumn("i", both)
     links = links.withColumn("similarity", F.col("i") / (F.col("n_a") + F.col("n_b") - F.col("i"))).where(F.col("similarity") >= threshold)
     return NearDuplicates(rows.select("id", "key").distinct(), materialize(links.select("key_a", "key_b", "similarity"), "links"))
