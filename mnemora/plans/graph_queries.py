@@ -47,6 +47,8 @@ _US = """case when floor(t / 86400) = day then cast(round(t * 1e6) as bigint) wh
 _SIT = rf"""sit as (select sitting_id id, workspace, us, cast(floor(us / 86400e6) as bigint) d, list_sort(list_distinct(list_transform(flatten(events), lambda x: regexp_replace(x, '\.md$', '')))) nodes, events, event_sources, coalesce(provenance, 'genuine') provenance
   from (select *, {_US} us, row_number() over (partition by sitting_id order by arrived_at) rn from sittings where sitting_id is not null) where rn = 1 and coalesce(provenance, 'genuine') <> 'replay')"""
 
+_ORDER_SIT = _SIT.replace(" nodes, events,", " nodes, query_hash, events,")
+
 
 @query(f"""with {_CLEAN}, o as (select us, n_events from clean),
 marked as (select *, case when us - lag(us) over (order by us) <= 1800000000 then 0 else 1 end brk from o),
