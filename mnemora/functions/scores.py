@@ -169,7 +169,7 @@ def review_step(easiness, interval, count, quality) -> Column:
     grown = F.when(n + 1 == 1, F.lit(1)).when(n + 1 == 2, F.lit(6)).otherwise(F.greatest(F.lit(1), F.rint(iv * ef).cast("bigint")))
     easier = F.greatest(F.lit(1.3), ef + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02)))
     return F.struct(
-        F.round(F.when(lapse, ef).otherwise(easier), 3).alias("easiness_factor"),
+        rounded(F.when(lapse, ef).otherwise(easier), 3).alias("easiness_factor"),
         F.when(lapse, F.lit(1)).otherwise(grown).cast("bigint").alias("review_interval_days"),
         F.when(lapse, F.lit(0)).otherwise(n + 1).cast("bigint").alias("review_count"),
     )

@@ -109,7 +109,7 @@ def merge_duplicates(nodes: DataFrame, pairs: DataFrame, on: str) -> DataFrame:
     retired = won.select(F.col("loser").alias("old_id"), F.col("winner").alias("new_id"))
     out = supersede(nodes, retired, on).join(parts, "id", "left")
     return (
-        out.withColumn("access_count", F.when(F.col("_n").isNull(), F.col("access_count")).otherwise(F.coalesce("access_count", F.lit(0)) + F.col("_n")))
+        out.withColumn("access_count", F.when(F.col("merged_from").isNull(), F.col("access_count")).otherwise(F.coalesce("access_count", F.lit(0)) + F.coalesce("_n", F.lit(0))))
         .withColumn("relevance", F.greatest("relevance", "_r")).drop("_n", "_r")
     )
 

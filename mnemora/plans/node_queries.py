@@ -90,18 +90,18 @@ def q_decay_14(spark: SparkSession, sf: str) -> DataFrame:
     return nodes(spark, sf).select("id", rel.alias("rel")).withColumn("tier", S.tier_for("rel"))
 
 
-@query(f"""with {NODES_SQL} select id, round(greatest(0.0, 0.02 * (case when type = 'fact' then 0.25 else case lower(tier) when 'hot' then 0.25 when 'cold' then 2.5 when 'frozen' then 0.25 else 1.0 end end)
-  * (1 + least(3.0, ({_DAYS}) * 0.02)) * (1 - 0.9 * {_CLAMPED})), 8) rate, round({_CAPTURE}, 8) capture from nd""")
+@query(f"""with {NODES_SQL} select id, floor(1e8 * greatest(0.0, 0.02e0 * (case when type = 'fact' then 0.25e0 else case lower(tier) when 'hot' then 0.25e0 when 'cold' then 2.5e0 when 'frozen' then 0.25e0 else 1e0 end end)
+  * (1 + least(3e0, ({_DAYS}) * 0.02e0)) * (1 - 0.9e0 * {_CLAMPED})) + 0.5) / 1e8 rate, floor(1e8 * ({_CAPTURE}) + 0.5) / 1e8 capture from nd""")
 def q_erosion_rate(spark: SparkSession, sf: str) -> DataFrame:
     """Erosion rate and faded capture score."""
     rate = S.erosion_rate(S.days_since("last_access", TODAY), "tier", "salience", F.col("type").eqNullSafe("fact"))
-    return nodes(spark, sf).select("id", F.round(rate, 8).alias("rate"), F.round(S.attenuate("stc_capture_score", "stc_capture_at", NOW), 8).alias("capture"))
+    return nodes(spark, sf).select("id", S.rounded(rate, 8).alias("rate"), S.rounded(S.attenuate("stc_capture_score", "stc_capture_at", NOW), 8).alias("capture"))
 
 
 @query(f"""with {NODES_SQL}, q as (select *, case when coalesce(relevance, case lower(trim(coalesce(tier, 'warm'))) when 'hot' then 0.8 when 'cold' then 0.4 when 'frozen' then 0.1 else 0.6 end) >= 0.75 then 5
   when coalesce(relevance, case lower(trim(coalesce(tier, 'warm'))) when 'hot' then 0.8 when 'cold' then 0.4 when 'frozen' then 0.1 else 0.6 end) >= 0.5 then 4
   when coalesce(relevance, case lower(trim(coalesce(tier, 'warm'))) when 'hot' then 0.8 when 'cold' then 0.4 when 'frozen' then 0.1 else 0.6 end) >= 0.25 then 3 else 1 end q from nd where next_review <= date '{TODAY}'),
-r as (select id, q, round(case when q < 3 then coalesce(easiness_factor, 2.5) else greatest(1.3, coalesce(easiness_factor, 2.5) + (0.1 - (5 - q) * (0.08 + (5 - q) * 0.02))) end, 3) easiness_factor,
+r as (select id, q, floor(1e3 * case when q < 3 then coalesce(easiness_factor, 2.5) else greatest(1.3, coalesce(easiness_factor, 2.5) + (0.1e0 - (5 - q) * (0.08e0 + (5 - q) * 0.02e0))) end + 0.5) / 1e3 easiness_factor,
   cast(case when q < 3 then 1 when coalesce(review_count, 0) = 0 then 1 when review_count = 1 then 6 else greatest(1, round_even(coalesce(review_interval_days, 1) * coalesce(easiness_factor, 2.5), 0)) end as bigint) review_interval_days,
   cast(case when q < 3 then 0 else coalesce(review_count, 0) + 1 end as bigint) review_count from q)
 select id, cast(q as int) quality, easiness_factor, review_interval_days, review_count, cast(date '{TODAY}' + cast(review_interval_days as int) as date) next_review from r""")
@@ -116,12 +116,12 @@ def q_sm2_due(spark: SparkSession, sf: str) -> DataFrame:
     return nodes(spark, sf).where(F.col("next_review") <= F.lit(TODAY).cast("date")).select("id", "next_review", F.coalesce("review_count", F.lit(0)).alias("review_count")).orderBy("next_review", "id")
 
 
-@query(f"""with {ALL_NODES_SQL} select id, round(greatest(0.0, least(1.0, 0.5 * coalesce(relevance, 0.5) * pow(0.45, greatest(0, coalesce(review_count, 0))) + 0.3 * (case when valid_to is not null then 1.0 else 0.0 end)
-  + 0.2 * least(1.0, coalesce(access_count, 0) / 5.0))), 6) salience from an""")
+@query(f"""with {ALL_NODES_SQL} select id, floor(1e6 * greatest(0.0, least(1.0, 0.5 * coalesce(relevance, 0.5) * pow(0.45, greatest(0, coalesce(review_count, 0))) + 0.3 * (case when valid_to is not null then 1.0 else 0.0 end)
+  + 0.2 * least(1.0, coalesce(access_count, 0) / 5.0))) + 0.5) / 1e6 salience from an""")
 def q_salience(spark: SparkSession, sf: str) -> DataFrame:
     """Composite salience; surprise stands in from relevance, contradiction from an ended validity."""
     s = S.composite_salience(F.coalesce("relevance", F.lit(0.5)), F.col("valid_to").isNotNull().cast("double"), F.coalesce("access_count", F.lit(0)), recalls=F.coalesce("review_count", F.lit(0)))
-    return all_nodes(spark, sf).select("id", F.round(s, 6).alias("salience"))
+    return all_nodes(spark, sf).select("id", S.rounded(s, 6).alias("salience"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
