@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.neardup import normal_words
+from mnemora.runtime import broadcast_if_small
 
 #: Characters of items that one pass takes along (their index is about 40 times as large).
 BLOCK_CHARS = 1_500_000
@@ -267,7 +268,7 @@ def leaks(
     if found is None:
         found = spark.createDataFrame([], _SCHEMA)
     lookup = spark.createDataFrame(list(enumerate(names)), f"item_key bigint, {item_id} {kinds[1]}") if names else spark.createDataFrame([], f"item_key bigint, {item_id} {kinds[1]}")
-    out = found.join(F.broadcast(lookup), "item_key")
+    out = found.join(broadcast_if_small(lookup), "item_key")
     if whole:
         out = out.withColumn(doc_id, F.col("doc_key").cast(kinds[0]))
     else:

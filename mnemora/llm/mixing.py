@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemora.runtime import materialize
+from mnemora.runtime import broadcast_if_small, materialize
 
 #: Ranges per source and of the queue: a table of that many sums is accumulated at once.
 RANGES = 4096
@@ -92,7 +92,7 @@ def mix(
     )  # one row per target source
     if budget is None:
         budget = int(plan.select(F.floor(F.min(F.col("tokens") * F.col("max_repeats") / F.col("weight")))).first()[0] or 0)
-    docs = sized.join(F.broadcast(plan.select("source", "weight", "tokens", "max_repeats")), "source").where("n_tokens > 0")
+    docs = sized.join(broadcast_if_small(plan.select("source", "weight", "tokens", "max_repeats")), "source").where("n_tokens > 0")
     # running sums of a source: over ranges of the hash, then inside each range
     docs = docs.withColumn("range", F.shiftrightunsigned("h", 64 - 12).cast("int"))
     sums = docs.groupBy("source", "range").agg(F.sum("n_tokens").alias("s"))
