@@ -25,6 +25,8 @@ CHILDREN = 100
 LEAF_ROWS = 20_000
 #: Share of equal tokens that joins a form to a template.
 ALIKE = 0.6
+#: Stands for "an open slot" among a document's messages; no message holds this character.
+SLOT = "\u0000slot"
 #: Forms with more tokens are templates by themselves.
 LONG = 60
 
@@ -90,28 +92,44 @@ RULES = (
 # ---- end of fixed values ----
 
 
-def without_code(text: Column) -> Column:
-    """Fenced and inline code cut out."""
-    fenced = F.regexp_replace(text, r"(?s)```.*?(?:```|$)", "\n")
-    return F.regexp_replace(fenced, r"`[^`\n]*`", " code ")
+def _step(df: DataFrame, column: str, marks: str, pattern: str, into: str) -> DataFrame:
+    """A replacement in the texts that hold one of the characters it needs. A projection of its own: as one nested expression
+    with the next steps, each would be worked out for every mention of it."""
+    has = F.contains(column, F.lit(marks[0]))
+    for m in marks[1:]:
+        has = has | F.contains(column, F.lit(m))
+    return df.withColumn(column, F.when(has, F.regexp_replace(column, pattern, into)).otherwise(F.col(column)))
 
 
-def slots(text: Column) -> Column:
-    """Whether a slot of a template stands outside code."""
-    return F.coalesce(without_code(text).rlike("|".join(SLOTS)), F.lit(False))
+def without_code(df: DataFrame, column: str) -> DataFrame:
+    """Fenced and inline code cut out of a column."""
+    return _step(_step(df, column, "`", r"(?s)```.*?(?:```|$)", "\n"), column, "`", r"`[^`\n]*`", " code ")
 
 
-def messages(text: Column) -> Column:
-    """Sentences and lines of a text without code, markup and passages quoted inside a sentence."""
-    plain = without_code(text)
-    plain = F.regexp_replace(plain, TAGS, "\n")
-    plain = F.regexp_replace(plain, r"(?m)^[\s>#*•|-]+", "")
-    plain = F.regexp_replace(plain, r"(?<=\w|[.,;:!?])[*_]{1,3}(?=\s|$|[.,;:!?])|(?<=\s|^)[*_]{1,3}(?=\w)", "")
-    plain = F.regexp_replace(plain, r'(?<=\w )["“][^"”\n]{3,200}["”](?= \w|[;,])', "quote")
-    lines = F.split(plain, r"(?<=[.!?])\s+|\s*\n\s*")
-    joined = F.split(F.regexp_replace(plain, r"[ \t]*\n[ \t]*(?!\n)", " "), r"(?<=[.!?])\s+")
-    trimmed = F.transform(F.array_distinct(F.concat(lines, joined)), lambda m: F.trim(F.regexp_replace(m, r"\s+", " ")))
-    return F.filter(F.array_distinct(trimmed), lambda m: m != "")
+def slots(code_free: str) -> Column:
+    """Whether a slot of a template stands in a text that is free of code."""
+    has = F.lit(False)
+    for m in "{<%_@[":
+        has = has | F.contains(code_free, F.lit(m))
+    return F.coalesce(has & F.col(code_free).rlike("|".join(SLOTS)), F.lit(False))
+
+
+def without_markup(df: DataFrame, column: str) -> DataFrame:
+    """A column without tags, marks of lists, headings and emphasis, and passages quoted inside a sentence."""
+    df = df.withColumn(column, F.translate(column, SLOT[0], " "))
+    df = _step(df, column, "<", TAGS, "\n")
+    df = _step(df, column, "#>*•|- ", r"(?m)^[\s>#*•|-]+", "")
+    df = _step(df, column, "*_", r"(?<=\w|[.,;:!?])[*_]{1,3}(?=\s|$|[.,;:!?])|(?<=\s|^)[*_]{1,3}(?=\w)", "")
+    return _step(df, column, '"“', r'(?<=\w )["“][^"”\n]{3,200}["”](?= \w|[;,])', "quote")
+
+
+def messages(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds the sentences and lines of a column; a sentence that runs over lines is there as a whole, too."""
+    df = _step(df.withColumn("_j", F.col(column)), "_j", "\n", r"[ \t]*\n[ \t]*(?!\n)", " ")
+    lines = F.split(column, r"(?<=[.!?])\s+|\s*\n\s*")
+    df = df.withColumn(out, F.when(F.contains(column, F.lit("\n")), F.concat(lines, F.split("_j", r"(?<=[.!?])\s+"))).otherwise(lines)).drop("_j")
+    trimmed = F.transform(F.array_distinct(out), lambda m: F.trim(F.regexp_replace(m, r"\s+", " ")))
+    return df.withColumn(out, F.filter(F.array_distinct(trimmed), lambda m: m != ""))
 
 
 def mask(message: Column) -> Column:
@@ -195,15 +213,18 @@ def find_residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     One row per id, whatever number of rows holds it. Null ids, null and empty texts give no row. Empty tables give
     none. Other columns are not read.
     """
-    docs = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("d is not null and t is not null")
-    said = docs.select("d", F.explode(messages(F.col("t"))).alias("m")).select("d", mask(F.col("m")).alias("form"))
+    docs = without_code(documents.select(F.col(doc_id).alias("d"), F.col(text).alias("c")).where("d is not null and c is not null"), "c")
+    docs = messages(without_markup(docs.withColumn("slot", slots("c")), "c"), "c", "m").drop("c")
+    docs = docs.withColumn("m", F.when(F.col("slot"), F.array_prepend("m", F.lit(SLOT))).otherwise(F.col("m")))
+    # explode() would add the filter size(m) > 0, which the optimizer pushes below all these steps by repeating them inside it
+    said = docs.select("d", F.explode_outer("m").alias("m")).where("m is not null").select("d", F.when(F.col("m") == SLOT, SLOT).otherwise(mask(F.col("m"))).alias("form"))
     said = materialize(said.select("d", F.xxhash64("form").alias("mid"), "form"), "messages")
-    forms = materialize(said.groupBy("mid").agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("rows")), "forms")
+    forms = materialize(said.where(F.col("form") != SLOT).groupBy("mid").agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("rows")), "forms")
     templates = materialize(mine_templates(forms), "templates")
     verdict = F.col("template").rlike("|".join(f"(?:{r})" for r in RULES)) | repeated(F.col("template"))
     judged = templates.groupBy("template").agg(F.first(verdict).alias("bad")).where("bad").select("template")
     wrong = templates.join(broadcast_if_small(judged), "template", "left_semi").select("mid", F.lit("message").alias("kind"))
-    bad = materialize(wrong.unionByName(_is_filler(forms).select("mid", F.lit("filler").alias("kind"))), "verdicts")
+    slot = forms.sparkSession.range(1).select(F.xxhash64(F.lit(SLOT)).alias("mid"), F.lit("slot").alias("kind"))
+    bad = materialize(wrong.unionByName(_is_filler(forms).select("mid", F.lit("filler").alias("kind"))).unionByName(slot), "verdicts")
     hits = said.select("d", "mid").join(broadcast_if_small(bad), "mid").select("d", "kind")
-    open_slots = docs.where(slots(F.col("t"))).select("d", F.lit("slot").alias("kind"))
-    return hits.unionByName(open_slots).groupBy("d").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumnRenamed("d", doc_id)
+    return hits.groupBy("d").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumnRenamed("d", doc_id)
