@@ -43,3 +43,18 @@ def first_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: st
     )
     flat = per_key.withColumn("_w", walk).select(*keys, F.explode(F.arrays_zip("_all", F.col("_w.flags").alias("_f"))).alias("_x"))
     return flat.select(*keys, F.col("_x._all._r").alias("_r"), F.col("_x._f").alias("taken")).select(*keys, "_r.*", "taken")
+
+
+def first_fit_taken(df: DataFrame, keys: Sequence[str], order: Sequence, size: str, budget: int) -> DataFrame:
+    """The rows that first_fit takes, out of any number of candidates; sizes are whole and not negative.
+
+    What is left of the budget only shrinks, so of the rows of one size those taken are the first in order, budget / size of
+    them at most. Only these are walked; no other row can be taken. They number budget * (1 + 1/2 + 1/3 + ...) at most, and
+    row_number() up to a constant drops most others before the shuffle. Rows of size 0 always fit. The order must be total.
+    """
+    small = df.where(F.col(size) <= budget)
+    alike = F.row_number().over(Window.partitionBy(*keys, size).orderBy(*order))
+    near = small.where(F.col(size) > 0).withColumn("_k", alike).where((F.col("_k") <= budget) & (F.col("_k") * F.col(size) <= budget))
+    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    walked = first_fit(ranked, keys, ["_k"], size, budget, sum(budget // s for s in range(1, budget + 1)))
+    return walked.where("taken").select(*df.columns).unionByName(small.where(F.col(size) == 0))

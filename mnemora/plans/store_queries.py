@@ -245,13 +245,11 @@ w(tier, rn, id, spent, taken) as (select distinct tier, 0::bigint, null::varchar
   select c.tier, c.rn, c.id, case when w.spent + c.tokens <= case c.tier when 'hot' then 240 else 360 end then w.spent + c.tokens else w.spent end, w.spent + c.tokens <= case c.tier when 'hot' then 240 else 360 end from w join c on c.tier = w.tier and c.rn = w.rn + 1 where c.rn <= 256)
 select id, tier from w where taken""")
 def q_inject_fold(spark: SparkSession, sf: str) -> DataFrame:
-    """Two layers packed first-fit, each into its share of 600 tokens, from the 256 best of each."""
-    from pyspark.sql import Window
-
-    best = Window.partitionBy("tier").orderBy(F.col("relevance").desc_nulls_last(), "id")
-    c = nodes(spark, sf).where("tier in ('hot', 'warm')").select("tier", "id", X.token_estimate_up("body").alias("tokens"), F.row_number().over(best).alias("rn")).where("rn <= 256")
-    hot = packing.first_fit(c.where("tier = 'hot'"), ["tier"], ["rn"], "tokens", 240)
-    return hot.unionByName(packing.first_fit(c.where("tier = 'warm'"), ["tier"], ["rn"], "tokens", 360)).where("taken").select("id", "tier")
+    """Two layers packed first-fit, each into its share of 600 tokens, from all its nodes (the SQL walks the 256 best only)."""
+    best = [F.col("relevance").desc_nulls_last(), "id"]
+    c = nodes(spark, sf).where("tier in ('hot', 'warm')").select("tier", "id", "relevance", X.token_estimate_up("body").alias("tokens"))
+    hot = packing.first_fit_taken(c.where("tier = 'hot'"), ["tier"], best, "tokens", 240)
+    return hot.unionByName(packing.first_fit_taken(c.where("tier = 'warm'"), ["tier"], best, "tokens", 360)).select("id", "tier")
 
 
 @query(f"""with {NODES_SQL}, b as (select id, 0.5 * coalesce(relevance, 0) + 0.2 * pow(0.5, case when last_access is null then 9999 else greatest(date_diff('day', last_access, date '{TODAY}'), 0) end / 14.0) + 0.15 * least(1.0, len(chains) / 8.0) + 0.10 * ln(1 + coalesce(access_count, 0)) / 5 s from nd)
