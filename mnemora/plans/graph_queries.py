@@ -201,8 +201,8 @@ def q_forward_kernel(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""with recursive {PAIR_SQL}, g as (select a, b from pw where n >= 20), e as (select a x, b y from g union all select b, a from g),
 r(x, y) as (select x, x from e union select r.x, e.y from r join e on e.x = r.y) select x node, min(y) component from r group by x""")
 def q_components(spark: SparkSession, sf: str) -> DataFrame:
-    """Connected components of the pairs tallied twenty times and more."""
-    return G.connected_components(pair_web(spark, sf).where("n >= 20"), "a", "b")
+    """Connected components of the whole co-activation web (the SQL takes pairs tallied twenty times and more only)."""
+    return G.connected_components(pair_web(spark, sf), "a", "b")
 
 
 @query(f"""with {PAIR_SQL}, {NODES_SQL},

@@ -5,7 +5,7 @@ import random
 from conftest import rows
 
 from mnemora.operators import packing
-from mnemora.plans import store_queries
+from mnemora.plans import graph_queries, store_queries
 
 
 def write(spark, folder, **tables):
@@ -41,3 +41,19 @@ def test_inject_fold_behind_rank_256(spark, tmp_path):
     got = {tuple(x) for x in store_queries.q_inject_fold(spark, write(spark, tmp_path, nodes=(data, schema))).collect()}
     sizes = [200] * 300 + [30, 15, 9, 0]
     assert got == {(f"{tier}-n-{i:04}", tier) for tier, budget in (("hot", 240), ("warm", 360)) for i in fold(sizes, budget)}
+
+
+def test_components_of_light_pairs(spark, tmp_path):
+    r = random.Random(5)
+    pairs = {tuple(r.sample(range(90), 2)) for _ in range(50)}
+    data = [(f"n{a:02}" + ".md" * (a % 2), f"n{b:02}", kind, r.choice([1, 2, 25, None]), None, None, 0.5) for a, b in sorted(pairs) for kind in ("coactivation", "mention")]
+    data += [("n95", "n96", "mention", 30, None, None, 0.5), ("n97", "n97.md", "coactivation", 30, None, None, 0.5)]
+    schema = "src_node string, dst_node string, ref_kind string, occurrence_count bigint, first_seen_at timestamp, last_seen_at timestamp, weight double"
+    got = rows(graph_queries.q_components(spark, write(spark, tmp_path, edges=(data, schema))))
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, {a}).add(b)
+        near.setdefault(b, {b}).add(a)
+    for _ in near:
+        near = {a: set().union(*(near[b] for b in bs)) for a, bs in near.items()}
+    assert got == sorted((f"n{a:02}", f"n{min(bs):02}") for a, bs in near.items())
