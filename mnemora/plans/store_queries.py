@@ -89,10 +89,10 @@ def q_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
 df as (select entity, count(*) df from i group by entity having count(*) between 2 and 50)
 select doc_id, round(sum(1.0 / df), 8) score, count(*) n_shared from i join df using (entity) group by doc_id""")
 def q_bridge(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents by the acronyms they share with others, rare ones counting more."""
+    """Documents by the acronyms they share with others, rare ones counting more (the SQL leaves out those of more than 50 documents)."""
     caps = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{3,}[0-9]*\b"), 0), F.lower), lambda s: F.length(s) <= 12)
     i = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(caps).alias("entity")).distinct()
-    df = i.groupBy("entity").agg(F.count(F.lit(1)).alias("df")).where("df between 2 and 50")
+    df = i.groupBy("entity").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
     return i.join(df, "entity").groupBy("doc_id").agg(F.round(F.sum(1 / F.col("df")), 8).alias("score"), F.count(F.lit(1)).alias("n_shared"))
 
 

@@ -43,6 +43,12 @@ def test_inject_fold_behind_rank_256(spark, tmp_path):
     assert got == {(f"{tier}-n-{i:04}", tier) for tier, budget in (("hot", 240), ("warm", 360)) for i in fold(sizes, budget)}
 
 
+def test_bridge_keeps_common_entities(spark, tmp_path):
+    docs = [(i, "See the NASA note." + (" Also ESA." if i < 2 else "")) for i in range(60)] + [(90, "Only JAXA here."), (91, None)]
+    got = rows(store_queries.q_bridge(spark, write(spark, tmp_path, documents=(docs, "doc_id bigint, text string"))))
+    assert got == sorted(((i, round(1 / 60 + (0.5 if i < 2 else 0), 8), 2 if i < 2 else 1) for i in range(60)), key=str)
+
+
 def test_components_of_light_pairs(spark, tmp_path):
     r = random.Random(5)
     pairs = {tuple(r.sample(range(90), 2)) for _ in range(50)}
