@@ -104,8 +104,8 @@ def q_genuine_pairs(spark: SparkSession, sf: str) -> DataFrame:
 l as (select node, r, lag(r) over (partition by node order by us nulls first, id) p from x)
 select node, count(*) n, round(avg(1 - case when len(list_distinct(list_concat(r, p))) = 0 then 0.0 else len(list_intersect(r, p)) / len(list_distinct(list_concat(r, p)))::double end), 6) distance from l where p is not null group by node""")
 def q_njd(spark: SparkSession, sf: str) -> DataFrame:
-    """How much the company of each node changes from sitting to sitting."""
-    return A.neighbourhood_distance(sittings(spark, sf), "id", "nodes", "us").select("node", "n", F.round("distance", 6).alias("distance"))
+    """How much the company of each node differs between its sittings, over all pairs of them (the SQL takes consecutive ones only)."""
+    return A.neighbourhood_distance(sittings(spark, sf), "id", "nodes").select("node", "n", F.round("distance", 6).alias("distance"))
 
 
 @query(f"with {PAIR_SQL} select a, b, n, round(1 - pow({1 - S.EMA!r}, n), 6) w, 1 - pow({1 - S.EMA!r}, n) >= 0.85 and n >= 3 promotable from pw")

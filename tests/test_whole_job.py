@@ -1,10 +1,12 @@
 """Queries and operators on inputs where a cut of the candidates would show."""
 
 import random
+from itertools import combinations
 
+import pytest
 from conftest import rows
 
-from mnemora.operators import packing
+from mnemora.operators import coactivation, packing
 from mnemora.plans import graph_queries, store_queries
 
 
@@ -63,3 +65,20 @@ def test_components_of_light_pairs(spark, tmp_path):
     for _ in near:
         near = {a: set().union(*(near[b] for b in bs)) for a, bs in near.items()}
     assert got == sorted((f"n{a:02}", f"n{min(bs):02}") for a, bs in near.items())
+
+
+@pytest.mark.parametrize("most", [3, 16])
+def test_neighbourhood_distance_of_all_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(coactivation, "SUBSETS_UP_TO", most)
+    r = random.Random(7)
+    records = [(i, sorted(r.sample("abcdefgh", r.choice([1, 1, 2, 3, 4, 6])))) for i in range(70)]
+    records += [(100 + i, ["x", "pq"[i % 2]]) for i in range(20)] + [(200, ["lone"]), (201, [])]
+    want = {}
+    for node in {n for _, ns in records for n in ns}:
+        near = [set(ns) - {node} for _, ns in records if node in ns]
+        d = [1 - len(x & y) / len(x | y) if x | y else 0.0 for x, y in combinations(near, 2)]
+        if d:
+            want[node] = (len(d), pytest.approx(sum(d) / len(d)))
+    got = coactivation.neighbourhood_distance(spark.createDataFrame(records, "id bigint, nodes array<string>"), "id", "nodes")
+    assert {x.node: (x.n, x.distance) for x in got.collect()} == want
+    assert want["x"][1] == 100 / 190
