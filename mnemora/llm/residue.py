@@ -5,7 +5,8 @@ may show such text as its subject. Messages are masked (numbers, words for scrip
 forms go down a prefix tree of fixed depth: token count, first token, second token. A node keeps a child of
 its own only for tokens with at least 1/CHILDREN of its rows, so a node never has more than CHILDREN children and
 one for the rest. In a leaf, forms are grouped by the share of equal tokens; a group's template has a wildcard
-where its members differ. Every template is classified once and its verdict goes to all its messages.
+where its members differ. Every template is classified once and a bad verdict goes to all its messages; members of a template with
+wildcards that is not bad are judged one by one.
 Slots that were never filled are looked for in the texts themselves, and filler by its vocabulary, which is
 learnt from the corpus: words that keep company with known filler in many different settings.
 """
@@ -207,6 +208,11 @@ def repeated(form: Column) -> Column:
     return form.rlike(r"^(\p{L}+(?: \p{L}+){0,2}?)(?: \1){2,}[.!]?$")
 
 
+def verdict(form: Column) -> Column:
+    """Whether a form or template is a message of residue."""
+    return form.rlike("|".join(f"(?:{r})" for r in RULES)) | repeated(form)
+
+
 def find_residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Documents with residue: `doc_id`, `kinds` (slot, message, filler).
 
@@ -221,9 +227,12 @@ def find_residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     said = materialize(said.select("d", F.xxhash64("form").alias("mid"), "form"), "messages")
     forms = materialize(said.where(F.col("form") != SLOT).groupBy("mid").agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("rows")), "forms")
     templates = materialize(mine_templates(forms), "templates")
-    verdict = F.col("template").rlike("|".join(f"(?:{r})" for r in RULES)) | repeated(F.col("template"))
-    judged = templates.groupBy("template").agg(F.first(verdict).alias("bad")).where("bad").select("template")
-    wrong = templates.join(broadcast_if_small(judged), "template", "left_semi").select("mid", F.lit("message").alias("kind"))
+    judged = templates.groupBy("template").agg(F.first(verdict(F.col("template"))).alias("bad"))
+    marked = templates.join(broadcast_if_small(judged.where("bad").select("template", "bad")), "template", "left")
+    wrong = marked.where("bad").select("mid", F.lit("message").alias("kind"))
+    # a wildcard may stand for the telling word of some members: those are judged one by one
+    varied = marked.where(F.col("bad").isNull() & F.contains("template", F.lit("<*>"))).select("mid")
+    wrong = wrong.unionByName(forms.join(varied, "mid").where(verdict(F.col("form"))).select("mid", F.lit("message").alias("kind")))
     slot = forms.sparkSession.range(1).select(F.xxhash64(F.lit(SLOT)).alias("mid"), F.lit("slot").alias("kind"))
     bad = materialize(wrong.unionByName(_is_filler(forms).select("mid", F.lit("filler").alias("kind"))).unionByName(slot), "verdicts")
     hits = said.select("d", "mid").join(broadcast_if_small(bad), "mid").select("d", "kind")
