@@ -46,6 +46,12 @@ SLOTS = (
     r"(?<![{$#%\w])\{[A-Za-z_]\w{0,60}\}(?!\})",
 )
 SEEDS = ("lorem", "ipsum")
+PASSAGE = (
+    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
+    "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat "
+    "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur "
+    "excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum"
+)
 SCRIPT_WORDS = r"(?i)\b(?:java ?script|js|ecmascript|client-side scripts?|scripting|scripts)\b"
 TAGS = r"(?i)</?(?:html|head|title|meta|link|body|header|footer|nav|main|section|article|h[1-6]|p|div|span|noscript|br|hr|a|b|i|em|strong|ul|ol|li|table|tr|td|th)(?:\s[^<>\n]*)?/?>"
 RULES = (
@@ -191,16 +197,24 @@ def filler_words(forms: DataFrame) -> DataFrame:
     words = F.split(F.trim(F.regexp_replace("form", r"[^\p{L}]+", " ")), " ")
     w = forms.select(words.alias("w")).where(F.size("w") >= 4).select("w", F.arrays_overlap("w", F.array(*map(F.lit, SEEDS))).alias("seed"))
     each = w.select("seed", "w", F.posexplode("w").alias("i", "word")).select("seed", "word", F.when(F.col("i") > 0, F.element_at("w", F.col("i"))).alias("prior"))
-    stats = each.groupBy("word").agg(F.avg(F.col("seed").cast("int")).alias("share"), F.approx_count_distinct(F.when(F.col("seed"), F.col("prior"))).alias("settings"))
+    stats = each.groupBy("word").agg(F.avg(F.col("seed").cast("int")).alias("share"), F.count_distinct(F.when(F.col("seed"), F.col("prior"))).alias("settings"))
     return stats.where("share >= 0.2 and settings >= 4").select("word")
 
 
 def _is_filler(forms: DataFrame) -> DataFrame:
-    """Forms (`mid`) of four words or more of which at least six in ten are filler words."""
+    """Forms (`mid`) of three words or more of which at least six in ten are filler words, and those of the standard passage: the seed
+    phrase alone, or three words or more whose neighbours are six times in ten neighbours in the passage, in any corpus."""
     words = F.split(F.trim(F.regexp_replace("form", r"[^\p{L}]+", " ")), " ")
-    each = forms.select("mid", words.alias("w")).where(F.size("w") >= 3).select("mid", F.size("w").alias("n"), F.explode("w").alias("word"))
+    said = forms.select("mid", words.alias("w"))
+    each = said.where(F.size("w") >= 3).select("mid", F.size("w").alias("n"), F.explode("w").alias("word"))
     hit = each.join(broadcast_if_small(filler_words(forms)), "word")
-    return hit.groupBy("mid", "n").agg(F.count(F.lit(1)).alias("k")).where("k >= 0.6 * n").select("mid")
+    learnt = hit.groupBy("mid", "n").agg(F.count(F.lit(1)).alias("k")).where("k >= 0.6 * n").select("mid")
+    passage = PASSAGE.split()
+    known = [f"{a} {b}" for a, b in zip(passage, passage[1:])]
+    near = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b).isin(known))
+    share = F.size(F.filter(near, lambda x: x)) >= 0.6 * (F.size("w") - 1)
+    fixed = said.where(F.size("w") >= 2).where((F.array_join("w", " ") == " ".join(SEEDS)) | (F.size("w") >= 3) & share).select("mid")
+    return learnt.unionByName(fixed).distinct()
 
 
 def repeated(form: Column) -> Column:
