@@ -53,7 +53,7 @@ def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
     baskets = sitting_baskets(spark, sf)
     noon = F.unix_micros(F.lit("2010-01-20 12:00:00").cast("timestamp"))
     state = cooccurrence.PairTable(spark).apply(baskets.where(F.col("version") < noon)).apply(baskets.where(F.col("version").isNull() | (F.col("version") >= noon)))
-    return state.scores(2, 1, 0).select("node_a", "node_b", "n_ab", "n_a", "n_b", "score")
+    return state.scores(1, 1, 0).select("node_a", "node_b", "n_ab", "n_a", "n_b", "score")
 
 
 _BASKET_SQL = r"""once as (select events from (

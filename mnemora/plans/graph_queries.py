@@ -80,8 +80,8 @@ def q_user_sessions(spark: SparkSession, sf: str) -> DataFrame:
 nab as (select x.node a, y.node b, count(*) n from m x join m y on x.id = y.id and x.node < y.node group by 1, 2 having count(*) >= 3)
 select a, b, nab.n n_ab, round(nab.n::double * tot.n / (p.n::double * q.n), 6) lift from nab join na p on p.node = a join na q on q.node = b, tot""")
 def q_lift(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of three sittings and more with their lift."""
-    return A.pair_lift(sittings(spark, sf), "nodes").where("n_ab >= 3").select("a", "b", "n_ab", F.round("lift", 6).alias("lift"))
+    """All pairs with their lift (the SQL gives those of three sittings and more only)."""
+    return A.pair_lift(sittings(spark, sf), "nodes").select("a", "b", "n_ab", F.round("lift", 6).alias("lift"))
 
 
 @query(f"""with {_SIT}, m as (select id, d, unnest(nodes) node from sit) select node, count(*) n, count(distinct d) n_days, min(d) first_day, max(d) last_day from m group by node""")
