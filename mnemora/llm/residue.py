@@ -1,101 +1,63 @@
 """Template residue, filler and error pages in documents.
 
 Texts are cut into messages (sentences and lines). Code and quoted passages are set aside first: a document
-may show such text as its subject. Messages are masked (numbers, words for scripts) and their distinct
-forms go down a prefix tree of fixed depth: token count, first token, second token. A node keeps a child of
-its own only for tokens with at least 1/CHILDREN of its rows, so a node never has more than CHILDREN children and
-one for the rest. In a leaf, forms are grouped by the share of equal tokens; a group's template has a wildcard
-where its members differ. Every template is classified once and a bad verdict goes to all its messages; members of a template with
-wildcards that is not bad are judged one by one.
-Slots that were never filled are looked for in the texts themselves, and filler by its vocabulary, which is
-learnt from the corpus: words that keep company with known filler in many different settings.
+may show such text as its subject. Messages are masked (numbers, words for scripts). Those that hold a word of evidence
+(a failure, a demand for scripts, filler, ...) go down a prefix tree of fixed depth: token count, first token, second token;
+the others can never be judged residue (see `verdicts`), so they need no template. A node keeps a child of its own
+only for tokens with at least 1/CHILDREN of its rows, so a node never has more than CHILDREN children and one for
+the rest. In a leaf, a token stays in the template where it is frequent at its place or where a verdict may
+rest on it; all others become a wildcard. So a template and each of its members get the same verdict: every template is judged
+once, by the fitted classifier of `verdicts`, and the verdict goes to all its messages. Nothing here depends on how many rows a
+leaf has, and no step gathers one.
+
+Filler goes the same way: its vocabulary is learnt from the corpus (words that keep company with known filler, in changing
+order), its words are marked in the messages, and marked messages are mined and judged like the rest.
+Slots that were never filled are looked for in the texts themselves.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemora.llm import verdicts
 from mnemora.runtime import broadcast_if_small, materialize
 
 #: Most children of a tree node beside the one for rare tokens.
 CHILDREN = 100
-#: Distinct forms grouped by one task; a fuller leaf is cut by hash, each part with templates of its own.
-LEAF_ROWS = 20_000
-#: Share of equal tokens that joins a form to a template.
-ALIKE = 0.6
+#: Share of a leaf's rows that keeps a token at its place in the template.
+FREQUENT = 0.2
+#: Share of a word's messages that hold known filler, and the most that one word may precede it, for a word of filler.
+COMPANY, ORDERED = 0.2, 0.5
+#: A message stands apart in a paragraph of at most so many sentences.
+APART = 2
 #: Stands for "an open slot" among a document's messages; no message holds this character.
 SLOT = "\u0000slot"
-#: Forms with more tokens are templates by themselves.
-LONG = 60
 
 # ---- fixed values ----
 SLOTS = (
-    r"\{\{[^{}\n]{1,80}\}\}",
-    r"[$#]\{[A-Za-z_][\w .]{0,60}\}",
-    r"<%=?[^%\n]{1,80}%>",
-    r"<<[A-Za-z][\w .-]{0,60}>>",
-    r"%\([A-Za-z_]\w{0,60}\)[sdrf]",
-    r"(?<!\w)__[A-Z][A-Z0-9_]{2,60}__(?!\w)",
-    r"@@[A-Za-z_]{2,60}@@",
-    r"(?<!\w)%[A-Z][A-Z_]{2,60}%(?!\w)",
-    r"\[(?i:insert|your|enter|add)\s[^\[\]\n]{1,60}\]",
-    r"<[A-Za-z][\w ]{0,60} (?i:goes here)>",
-    r"(?<![{$#%\w])\{[A-Za-z_]\w{0,60}\}(?!\})",
+    r"\{\{[^{}\n]+\}\}",
+    r"\{%[^{}\n]+%\}",
+    r"[$#]\{[A-Za-z_][\w .]*\}",
+    r"<%=?[^%\n]+%>",
+    r"\[%[^%\n]+%\]",
+    r"<<[A-Za-z][\w .-]*>>",
+    r"<[A-Z][A-Z0-9]*(?:[_ -][A-Z0-9]+)+>",
+    r"%\([A-Za-z_]\w*\)[sdrf]",
+    r"(?<!\w)__[A-Z][A-Z0-9_]+__(?!\w)",
+    r"@@[A-Za-z_]{2,}@@",
+    r"(?<!\w)%[A-Z][A-Z_]+%(?!\w)",
+    r"\[(?i:insert|your|enter|add)\s[^\[\]\n]+\]",
+    r"\[[A-Z][A-Z0-9]*(?:[_ ][A-Z0-9]+)+\](?!\()",
+    r"<[A-Za-z][\w ]* (?i:goes here)>",
+    r"(?<![{$#%\w])\{[A-Za-z_]\w*\}(?!\})",
 )
 SEEDS = ("lorem", "ipsum")
-PASSAGE = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua "
-    "ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat "
-    "duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur "
-    "excepteur sint occaecat cupidatat non proident sunt in culpa qui officia deserunt mollit anim id est laborum"
-)
-SCRIPT_WORDS = r"(?i)\b(?:java ?script|js|ecmascript|client-side scripts?|scripting|scripts)\b"
+SCRIPT_WORDS = r"\b(?:java ?script|js|ecmascript|client-side scripts?|scripting|scripts|skripten?)\b"
 TAGS = r"(?i)</?(?:html|head|title|meta|link|body|header|footer|nav|main|section|article|h[1-6]|p|div|span|noscript|br|hr|a|b|i|em|strong|ul|ol|li|table|tr|td|th)(?:\s[^<>\n]*)?/?>"
-RULES = (
-    # scripts must be on
-    r"\b(?:enable|activate|turn on|switch on|allow|unblock) jscript\b",
-    r"\bjscript (?:is|are) (?:\w+ )?(?:disabled|blocked|off|turned off|switched off|required|needed|not enabled)\b",
-    r"\b(?:has|with) jscript (?:switched|turned) off\b",
-    r"\bnot work without jscript\b",
-    r"\b(?:we need|needs?|requires?|required:?) jscript\b",
-    r"\bjscript (?:must|needs? to|has to|have to|should) be (?:allowed|enabled|on|activated)\b",
-    r"\bbrowser with jscript is required\b|\bdoes not (?:run|support) jscript\b",
-    r"\baktivieren sie (?:bitte )?jscript\b|\bbenötigt (?:jscript|skripte)\b|\berlauben sie (?:jscript|skripte)\b",
-    r"\bactiver jscript\b|\bnécessite (?:jscript|des (?:jscript|scripts))\b|\bactivez jscript\b",
-    r"\bactive jscript para\b|\bnecesita (?:jscript|scripts)\b|\bhabilite jscript\b|\bhabilitar jscript\b",
-    # page, node or service could not be delivered
-    r"^(?:error|fehler|erreur)(?: 0)? ?:",
-    r"^0 (?:forbidden|not found|unauthorized|bad (?:gateway|request)|service (?:temporarily )?unavailable|internal server error|gateway time-?out|too many requests)[.!]?$",
-    r"^(?:request failed|unexpected failure) ?:",
-    r"\bcould not find the \S+ you\b|\bpage you (?:requested|are looking for|were looking for)\b.*\b(?:not|removed|moved)\b",
-    r"^(?:notice: )?(?:this|the) \S+ is (?:currently |temporarily )?(?:not available|unavailable)\b|\bis not available right now\b",
-    r"\bsomething went wrong\b|\bwe hit a snag\b|\bnothing lives at this address\b",
-    r"\bunable to load\b|\bloading this \S+ failed\b|\binternal (?:server )?error while\b|\bcould not be (?:loaded|displayed|rendered|delivered)[.!]?$",
-    r"\brefused the connection\b|\bdid not answer in time\b|\bgave no answer in time\b|\breturned an? \S+ response\b|\bupstream connection reset\b",
-    r"\bis (?:down|offline) (?:for|while)\b.*\bmaintenance\b",
-    r"\btoo many requests\b|\bslow down and reload\b",
-    r"\byour session has (?:run out|expired)\b|\bsession has expired\b|\bsign in again\b",
-    r"\byou do not have (?:access|permission)\b|^access denied[.!]?$",
-    r"\bhas moved or was removed\b|\bhas been (?:moved|removed|deleted)\b.*\bpage\b",
-    r"\btry again in (?:0|a few) (?:minutes|seconds)\b|\btry again later\b|\bcontact your administrator\b",
-    r"\btraceback \(most recent call last\)|missing pool entry pool-",
-    r"\bnicht gefunden[.!]?$|\bzugriff verweigert\b|\bfehlt (?:ihnen )?(?:die berechtigung|der zugriff)\b|\bfehlt ihnen der zugriff\b|\bnicht erreichbar\b|\bzurzeit nicht verfügbar\b",
-    r"\bnicht rechtzeitig geantwortet\b|\bwird gerade gewartet\b|\bsitzung ist abgelaufen\b|\bmelden sie sich erneut an\b|\bversuchen sie es\b|\bexistiert nicht mehr\b",
-    r"\best introuvable\b|\baccès refusé\b|\bpas (?:le droit d|accès à)|\bmomentanément indisponible\b|\bindisponible pour le moment\b|\bpas répondu à temps\b",
-    r"\ben maintenance\b|\bsession a expiré\b|\breconnect(?:ez|er)\b|\bréessayez\b|\bn'existe plus\b",
-    r"\bno se encontró\b|\bacceso denegado\b|\bno tiene (?:permiso|acceso)\b|\bno está disponible\b|\bno respondió a tiempo\b",
-    r"\ben mantenimiento\b|\bsesión ha (?:caducado|expirado)\b|\binicie sesión\b|\binténtelo más tarde\b|\bvuelva a intentarlo\b|\bya no existe\b",
-    # filler and dummy text
-    r"\bplaceholder (?:paragraph|text)\b|\btext (?:will be added|goes here|follows) ?(?:later)?\b|\b(?:content|text) goes here\b|\bdelete this line\b",
-    r"\breplace this (?:paragraph|text|line)\b|\bwrite the \S+ of this \S+ here\b|\bgo in this box\b|^(?:title|subtitle) of the \S+[.!]?$",
-    r"\b(?:asdf|qwer|qwertz?y?)\b.*\b(?:asdf|qwer|test)\b|\bdummy text\b|\bsample text sample\b",
-    r"\bblindtext\b|\bbeispieltext\b|\bhier steht später\b|\bdiesen absatz ersetzen\b",
-    r"\bvotre texte ici\b|\bremplacez ce paragraphe\b|\btexte provisoire\b",
-    r"\bescriba aquí\b|\bsustituya este párrafo\b|\btexto de relleno\b",
-)
 # ---- end of fixed values ----
 
 
@@ -109,8 +71,10 @@ def _step(df: DataFrame, column: str, marks: str, pattern: str, into: str) -> Da
 
 
 def without_code(df: DataFrame, column: str) -> DataFrame:
-    """Fenced and inline code cut out of a column."""
-    return _step(_step(df, column, "`", r"(?s)```.*?(?:```|$)", "\n"), column, "`", r"`[^`\n]*`", " code ")
+    """Fenced and inline code cut out of a column. A fence that is never closed ends at the next blank line, so that it hides no more."""
+    df = _step(df, column, "`", r"(?s)```.*?```", "\n")
+    df = _step(df, column, "`", r"(?s)```.*?(?:\n[ \t]*\n|\z)", "\n\n")
+    return _step(df, column, "`", r"`[^`\n]*`", " code ")
 
 
 def slots(code_free: str) -> Column:
@@ -127,127 +91,115 @@ def without_markup(df: DataFrame, column: str) -> DataFrame:
     df = _step(df, column, "<", TAGS, "\n")
     df = _step(df, column, "#>*•|- ", r"(?m)^[\s>#*•|-]+", "")
     df = _step(df, column, "*_", r"(?<=\w|[.,;:!?])[*_]{1,3}(?=\s|$|[.,;:!?])|(?<=\s|^)[*_]{1,3}(?=\w)", "")
-    return _step(df, column, '"“', r'(?<=\w )["“][^"”\n]{3,200}["”](?= \w|[;,])', "quote")
+    return _step(df, column, '"“', r'(?<=\w )["“][^"”\n]+["”](?= \w|[;,])', "quote")
+
+
+def paragraphs(df: DataFrame, column: str) -> DataFrame:
+    """One row per paragraph. explode() would add a filter that the optimizer pushes below the steps before by repeating them."""
+    rest = [c for c in df.columns if c != column]
+    return df.select(*rest, F.explode_outer(F.split(column, r"\n[ \t\r]*\n")).alias(column))
 
 
 def messages(df: DataFrame, column: str, out: str) -> DataFrame:
-    """Adds the sentences and lines of a column; a sentence that runs over lines is there as a whole, too."""
-    df = _step(df.withColumn("_j", F.col(column)), "_j", "\n", r"[ \t]*\n[ \t]*(?!\n)", " ")
-    lines = F.split(column, r"(?<=[.!?])\s+|\s*\n\s*")
-    df = df.withColumn(out, F.when(F.contains(column, F.lit("\n")), F.concat(lines, F.split("_j", r"(?<=[.!?])\s+"))).otherwise(lines)).drop("_j")
-    trimmed = F.transform(F.array_distinct(out), lambda m: F.trim(F.regexp_replace(m, r"\s+", " ")))
-    return df.withColumn(out, F.filter(F.array_distinct(trimmed), lambda m: m != ""))
+    """Adds the sentences and lines of a paragraph, and `apart`: whether it has few sentences. A sentence that runs over lines that begin
+    with capitals is there as a whole, too."""
+    df = _step(df.withColumn("_j", F.col(column)), "_j", "\n", r"[ \t]*\n[ \t]*", " ")
+    df = df.withColumn("_j", F.split("_j", r"(?<=[.!?])\s+")).withColumn("apart", F.size("_j") <= APART)
+    lines = F.split(column, r"(?<=[.!?])\s+|[ \t\r]*\n\s*+(?!\p{Ll})")  # a line in lower case goes on with the one before
+    df = df.withColumn(out, F.when(F.contains(column, F.lit("\n")), F.concat(lines, "_j")).otherwise(F.col("_j"))).drop("_j")
+    return df.withColumn(out, F.filter(F.array_distinct(F.transform(out, F.trim)), lambda m: m != ""))
 
 
 def mask(message: Column) -> Column:
-    """The form of a message: lower case, words for scripts as `jscript`, digits as 0, without marks at its end."""
-    m = F.regexp_replace(message, SCRIPT_WORDS, "jscript")
-    m = F.regexp_replace(F.regexp_replace(m, r"\bjscript[^\s\w]+", "jscript"), r"[.!?…\s]+$", "")
-    return F.regexp_replace(F.lower(m), r"\d+", "0")
-
-
-def _group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Drain's grouping of the forms of one leaf; all have one token count."""
-    pdf = pdf.sort_values("form")
-    rows = [f.split(" ") for f in pdf["form"]]
-    ids: dict[str, int] = {}
-    codes = np.array([[ids.setdefault(t, len(ids)) for t in r] for r in rows], np.int32)
-    fixed = np.isin(codes, [ids[t] for t in ids if "jscript" in t])
-    n = codes.shape[1]
-    need = max(1, int(np.ceil(ALIKE * n)))
-    groups = np.empty((16, n), np.int32)
-    marks = np.zeros((16, n), bool)
-    used = 0
-    of = np.empty(len(rows), np.int64)
-    for i in range(len(rows)):
-        same = (groups[:used] == codes[i]).sum(1)
-        same[(marks[:used] != fixed[i]).any(1)] = -1  # words for scripts are never a wildcard
-        g = int(same.argmax()) if used else -1
-        if used and same[g] >= need:
-            groups[g][groups[g] != codes[i]] = -1
-        else:
-            if used == len(groups):
-                groups, marks = np.concatenate((groups, np.empty_like(groups))), np.concatenate((marks, np.zeros_like(marks)))
-            g, used = used, used + 1
-            groups[g], marks[g] = codes[i], fixed[i]
-        of[i] = g
-    names = {v: k for k, v in ids.items()} | {-1: "<*>"}
-    text = [" ".join(names[c] for c in g) for g in groups[:used]]
-    return pd.DataFrame({"mid": pdf["mid"].to_numpy(), "template": [text[g] for g in of]})
+    """The form of a message: lower case, single blanks, words for scripts as `jscript`, digits as 0, without marks at its end."""
+    m = F.lower(message)
+    m = F.when(m.rlike(r"\s\s|[\t\u00a0]"), F.regexp_replace(m, r"[\s\u00a0]+", " ")).otherwise(m)
+    named = F.regexp_replace(F.regexp_replace(m, SCRIPT_WORDS, "jscript"), r"\bjscript[^\s\w]+", "jscript")
+    m = F.when(F.contains(m, F.lit("script")) | F.contains(m, F.lit("skript")) | F.contains(m, F.lit("js")), named).otherwise(m)
+    return F.regexp_replace(F.rtrim(m, F.lit(" .!?…")), r"\d+", "0")
+
+
+def _begins(concepts: tuple[str, ...] | None = None) -> str:
+    return rf"(?<![\p{{L}}\p{{N}}_]){verdicts.stem_pattern(concepts)}"
+
+
+def evidence(form: Column) -> Column:
+    """Whether a form holds a word that a bad verdict needs; true for some others, never false for one of these."""
+    firsts, seconds = (tuple(dict.fromkeys(x)) for x in zip(*verdicts.PAIRED, strict=True))
+    return form.rlike(_begins(verdicts.EVIDENCE)) | (form.rlike(_begins(firsts)) & form.rlike(_begins(seconds)))
+
+
+def _words(form: str | Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(form, r"[^\p{L}]+", " ")), " ")
+
+
+def filler_in(said: DataFrame) -> DataFrame:
+    """Forms with words of filler: `form`, `filler` (those words).
+
+    A word of filler keeps company with a seed word in at least COMPANY of its messages, and no single word precedes it in more
+    than ORDERED of them: in a sentence about filler, each word has its one place.
+    """
+    seeded = said.where(F.contains("form", F.lit(SEEDS[0])) | F.contains("form", F.lit(SEEDS[1]))).select(_words("form").alias("w")).where(F.arrays_overlap("w", F.array(*map(F.lit, SEEDS))))
+    each = seeded.select("w", F.posexplode("w").alias("i", "word")).select("word", F.when(F.col("i") > 0, F.element_at("w", F.col("i"))).alias("prior"))
+    known = each.groupBy("word", "prior").agg(F.count(F.lit(1)).alias("n")).groupBy("word").agg(F.sum("n").alias("seeded"), F.max("n").alias("top"))
+    known = materialize(known.where(F.col("top") <= ORDERED * F.col("seeded")), "company")
+    spoken = said.select("form", F.explode(F.array_distinct(_words("form"))).alias("word")).join(broadcast_if_small(known), "word")
+    spoken = materialize(spoken.groupBy("form", "word", "seeded").agg(F.count(F.lit(1)).alias("n")), "spoken")
+    total = spoken.groupBy("word").agg((F.first("seeded") >= COMPANY * F.sum("n")).alias("is")).where("is").select("word")
+    return spoken.join(broadcast_if_small(total), "word").groupBy("form").agg(F.collect_set("word").alias("filler"))
 
 
 def mine_templates(forms: DataFrame) -> DataFrame:
-    """Template of every distinct form: `mid`, `template`. `forms` has `mid`, `form`, `rows`."""
-    f = forms.withColumn("tokens", F.split("form", " ")).withColumn("n", F.size("tokens"))
-    tree = f.where(F.col("n") <= LONG).select("mid", "form", "rows", "n", F.col("tokens")[0].alias("t1"), F.coalesce(F.get("tokens", F.lit(1)), F.lit("")).alias("t2"))
+    """Template of every distinct form: `form`, `template`, `rows`, `apart`. `forms` has `form`, `tokens`, `rows` and `apart` (how many of them)."""
+    tree = forms.withColumn("n", F.size("tokens")).withColumn("t1", F.col("tokens")[0]).withColumn("t2", F.coalesce(F.get("tokens", F.lit(1)), F.lit("")))
     for keys, token, kept in ((["n"], "t1", "k1"), (["n", "k1"], "t2", "k2")):
         parent = tree.groupBy(*keys).agg(F.sum("rows").alias("all"))
         child = tree.groupBy(*keys, token).agg(F.sum("rows").alias("own"))
         own = child.join(broadcast_if_small(parent), keys).where(F.col("own") * CHILDREN >= F.col("all")).select(*keys, token, F.col(token).alias(kept))
-        tree = tree.join(broadcast_if_small(own), [*keys, token], "left").withColumn(kept, F.coalesce(kept, F.lit("<*>")))
-    tree = materialize(tree.select("mid", "form", "n", "k1", "k2"), "tree")
-    leaf = tree.groupBy("n", "k1", "k2").agg(F.ceil(F.count(F.lit(1)) / LEAF_ROWS).alias("parts"))
-    cut = tree.join(broadcast_if_small(leaf), ["n", "k1", "k2"]).withColumn("part", F.expr("pmod(mid, parts)"))
-    mined = cut.groupBy("n", "k1", "k2", "part").applyInPandas(_group, "mid bigint, template string")
-    return mined.unionByName(f.where(F.col("n") > LONG).select("mid", F.col("form").alias("template")))
-
-
-def filler_words(forms: DataFrame) -> DataFrame:
-    """Words (`word`) of filler: a fifth or more of their forms hold a seed word, behind four different words or more."""
-    words = F.split(F.trim(F.regexp_replace("form", r"[^\p{L}]+", " ")), " ")
-    w = forms.select(words.alias("w")).where(F.size("w") >= 4).select("w", F.arrays_overlap("w", F.array(*map(F.lit, SEEDS))).alias("seed"))
-    each = w.select("seed", "w", F.posexplode("w").alias("i", "word")).select("seed", "word", F.when(F.col("i") > 0, F.element_at("w", F.col("i"))).alias("prior"))
-    stats = each.groupBy("word").agg(F.avg(F.col("seed").cast("int")).alias("share"), F.count_distinct(F.when(F.col("seed"), F.col("prior"))).alias("settings"))
-    return stats.where("share >= 0.2 and settings >= 4").select("word")
-
-
-def _is_filler(forms: DataFrame) -> DataFrame:
-    """Forms (`mid`) of three words or more of which at least six in ten are filler words, and those of the standard passage: the seed
-    phrase alone, or three words or more whose neighbours are six times in ten neighbours in the passage, in any corpus."""
-    words = F.split(F.trim(F.regexp_replace("form", r"[^\p{L}]+", " ")), " ")
-    said = forms.select("mid", words.alias("w"))
-    each = said.where(F.size("w") >= 3).select("mid", F.size("w").alias("n"), F.explode("w").alias("word"))
-    hit = each.join(broadcast_if_small(filler_words(forms)), "word")
-    learnt = hit.groupBy("mid", "n").agg(F.count(F.lit(1)).alias("k")).where("k >= 0.6 * n").select("mid")
-    passage = PASSAGE.split()
-    known = [f"{a} {b}" for a, b in zip(passage, passage[1:])]
-    near = F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b).isin(known))
-    share = F.size(F.filter(near, lambda x: x)) >= 0.6 * (F.size("w") - 1)
-    fixed = said.where(F.size("w") >= 2).where((F.array_join("w", " ") == " ".join(SEEDS)) | (F.size("w") >= 3) & share).select("mid")
-    return learnt.unionByName(fixed).distinct()
+        tree = tree.join(broadcast_if_small(own), [*keys, token], "left").withColumn(kept, F.coalesce(kept, F.lit(verdicts.WILDCARD)))
+    leaf = ["n", "k1", "k2"]
+    tree = materialize(tree.select("form", "tokens", "rows", "apart", *leaf), "tree")
+    size = tree.groupBy(*leaf).agg(F.sum("rows").alias("all"))
+    placed = tree.select(*leaf, "rows", F.posexplode("tokens").alias("at", "token")).groupBy(*leaf, "at", "token").agg(F.sum("rows").alias("own"))
+    often = placed.join(broadcast_if_small(size), leaf).groupBy(*leaf, "at").agg(F.collect_list(F.when(F.col("own") >= FREQUENT * F.col("all"), F.col("token"))).alias("stay"))
+    often = often.groupBy(*leaf).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stay"))), lambda x: x["stay"]).alias("stay"))
+    telling = rf"^(?:0:*$|[^\p{{L}}\p{{N}}<]*<?/?{verdicts.stem_pattern()})"
+    fixed = F.transform("tokens", lambda t, i: F.when(t.rlike(telling) | F.array_contains(F.get("stay", i), t), t).otherwise(F.lit(verdicts.WILDCARD)))
+    return tree.join(broadcast_if_small(often), leaf).select("form", F.array_join(fixed, " ").alias("template"), "rows", "apart")
 
 
-def repeated(form: Column) -> Column:
-    """One to three words said three times or more and nothing else."""
-    return form.rlike(r"^(\p{L}+(?: \p{L}+){0,2}?)(?: \1){2,}[.!]?$")
+def judge(weights: dict[str, float]):
+    """Pandas UDF: `message`, `filler` or null for templates and the share of their rows that stand apart."""
 
+    @F.pandas_udf("string")
+    def kind(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for template, apart in parts:
+            bad = [verdicts.score(t, a, weights) > 0 for t, a in zip(template, apart, strict=True)]
+            yield pd.Series([("filler" if verdicts.is_filling(t) else "message") if b else None for t, b in zip(template, bad, strict=True)], dtype=object)
 
-def verdict(form: Column) -> Column:
-    """Whether a form or template is a message of residue."""
-    return form.rlike("|".join(f"(?:{r})" for r in RULES)) | repeated(form)
+    return kind
 
 
 def find_residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """Documents with residue: `doc_id`, `kinds` (slot, message, filler).
 
     One row per id, whatever number of rows holds it. Null ids, null and empty texts give no row. Empty tables give
-    none. Other columns are not read.
+    none. Other columns are not read. Texts are read whole, sentences of any length.
     """
     docs = without_code(documents.select(F.col(doc_id).alias("d"), F.col(text).alias("c")).where("d is not null and c is not null"), "c")
-    docs = messages(without_markup(docs.withColumn("slot", slots("c")), "c"), "c", "m").drop("c")
+    docs = without_markup(docs.withColumn("slot", slots("c")), "c")
+    docs = messages(paragraphs(docs, "c"), "c", "m").drop("c")
     docs = docs.withColumn("m", F.when(F.col("slot"), F.array_prepend("m", F.lit(SLOT))).otherwise(F.col("m")))
-    # explode() would add the filter size(m) > 0, which the optimizer pushes below all these steps by repeating them inside it
-    said = docs.select("d", F.explode_outer("m").alias("m")).where("m is not null").select("d", F.when(F.col("m") == SLOT, SLOT).otherwise(mask(F.col("m"))).alias("form"))
-    said = materialize(said.select("d", F.xxhash64("form").alias("mid"), "form"), "messages")
-    forms = materialize(said.where(F.col("form") != SLOT).groupBy("mid").agg(F.first("form").alias("form"), F.count(F.lit(1)).alias("rows")), "forms")
-    templates = materialize(mine_templates(forms), "templates")
-    judged = templates.groupBy("template").agg(F.first(verdict(F.col("template"))).alias("bad"))
-    marked = templates.join(broadcast_if_small(judged.where("bad").select("template", "bad")), "template", "left")
-    wrong = marked.where("bad").select("mid", F.lit("message").alias("kind"))
-    # a wildcard may stand for the telling word of some members: those are judged one by one
-    varied = marked.where(F.col("bad").isNull() & F.contains("template", F.lit("<*>"))).select("mid")
-    wrong = wrong.unionByName(forms.join(varied, "mid").where(verdict(F.col("form"))).select("mid", F.lit("message").alias("kind")))
-    slot = forms.sparkSession.range(1).select(F.xxhash64(F.lit(SLOT)).alias("mid"), F.lit("slot").alias("kind"))
-    bad = materialize(wrong.unionByName(_is_filler(forms).select("mid", F.lit("filler").alias("kind"))).unionByName(slot), "verdicts")
-    hits = said.select("d", "mid").join(broadcast_if_small(bad), "mid").select("d", "kind")
+    said = docs.select("d", "apart", F.explode_outer("m").alias("m")).where("m is not null").withColumn("form", F.when(F.col("m") == SLOT, SLOT).otherwise(mask(F.col("m")))).drop("m")
+    said = materialize(said.withColumn("tells", (F.col("form") != SLOT) & evidence(F.col("form"))), "messages")
+    filler = materialize(filler_in(said.where(F.col("form") != SLOT)), "filler")
+    told = said.join(broadcast_if_small(filler), "form", "left").where("tells or filler is not null")
+    marks = F.transform(F.split("form", " "), lambda t: F.when(F.array_contains("filler", F.regexp_replace(t, r"[^\p{L}]+", "")), "<filler>").otherwise(t))
+    forms = told.groupBy("form").agg(F.first("filler", True).alias("filler"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("apart").cast("int")).alias("apart"))
+    forms = forms.select("form", F.when(F.col("filler").isNotNull(), marks).otherwise(F.split("form", " ")).alias("tokens"), "rows", "apart")
+    mined = materialize(mine_templates(materialize(forms, "forms")), "templates")
+    templates = mined.groupBy("template").agg((F.sum("apart") / F.sum("rows")).alias("apart"))
+    judged = templates.select("template", judge(verdicts.weights())("template", "apart").alias("kind")).where("kind is not null")
+    bad = materialize(mined.join(broadcast_if_small(materialize(judged, "verdicts")), "template").select("form", "kind"), "bad")
+    hits = said.select("d", "form").join(broadcast_if_small(bad), "form").select("d", "kind").unionByName(said.where(F.col("form") == SLOT).select("d", F.lit("slot").alias("kind")))
     return hits.groupBy("d").agg(F.array_sort(F.collect_set("kind")).alias("kinds")).withColumnRenamed("d", doc_id)

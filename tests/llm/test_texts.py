@@ -113,11 +113,13 @@ BAD = [
     "Please enable JavaScript to view this page.", "This viewer needs scripts\nto run. Allow scripts for this site.", "Bitte aktivieren Sie JavaScript, um diese Notiz zu sehen.",
     "<html><body><h1>404 Not Found</h1></body></html>", "Error 503: upstream connection reset.", "Real words here.\n\nOops! Something went wrong on our side.", "ACCESS DENIED.",
     "Dear {{name}}, welcome.", "Hello ${user}", "Status of %(name)s", "Owner: __OWNER_NAME__", "Call [INSERT NAME HERE] now", "Due <due date goes here>", "Hi {first_name}!", "<MISSING POOL ENTRY POOL-12>",
+    "Intro.\n```\ncode without an end\n\nPlease enable JavaScript to view this page.", "Dear {{ customer.first_name | default('a name that is far longer than any limit on the length of a slot would be') }}, hello", "Dear <FIRST_NAME>, thanks.", "Hello [% user.name %]",
     "Placeholder paragraph. Text will be added later.", "sample text sample text sample text", "asdf asdf qwer",
 ]
 GOOD = [
     "The help text says `please enable scripts`; we want another line.", "Log format: `%(asctime)s %(message)s` was chosen.", "Run it:\n```\nexport A=${HOME}/x\n```\ndone", "The page no longer answers with 404 not found, because ids redirect.",
     "The panel works with JavaScript disabled since it is rendered on the server.", "We saw 502 bad gateway answers for 3 minutes while it restarted.", '{"name": "x", "n": {"rank": 3}}', "Access denied was the right answer here.",
+    "The runbook says something went wrong in the index build, so we re-ran it on Tuesday.", "It read:\n```\n404 not found\n```\nand we fixed it.", "Recall\nreturned the page\nfor every query we had.",
     "", None, "He wrote that \"something went wrong\" on the form, and then left.",
 ]
 
