@@ -36,6 +36,8 @@ COMPANY, ORDERED = 0.2, 0.5
 APART = 2
 #: Stands for "an open slot" among a document's messages; no message holds this character.
 SLOT = "\u0000slot"
+#: Precedes a word that a verdict may rest on.
+MARK = "\u0001"
 
 # ---- fixed values ----
 SLOTS = (
@@ -87,7 +89,7 @@ def slots(code_free: str) -> Column:
 
 def without_markup(df: DataFrame, column: str) -> DataFrame:
     """A column without tags, marks of lists, headings and emphasis, and passages quoted inside a sentence."""
-    df = df.withColumn(column, F.translate(column, SLOT[0], " "))
+    df = df.withColumn(column, F.translate(column, SLOT[0] + MARK, "  "))
     df = _step(df, column, "<", TAGS, "\n")
     df = _step(df, column, "#>*•|- ", r"(?m)^[\s>#*•|-]+", "")
     df = _step(df, column, "*_", r"(?<=\w|[.,;:!?])[*_]{1,3}(?=\s|$|[.,;:!?])|(?<=\s|^)[*_]{1,3}(?=\w)", "")
@@ -110,13 +112,15 @@ def messages(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, F.filter(F.array_distinct(F.transform(out, F.trim)), lambda m: m != ""))
 
 
-def mask(message: Column) -> Column:
-    """The form of a message: lower case, single blanks, words for scripts as `jscript`, digits as 0, without marks at its end."""
-    m = F.lower(message)
-    m = F.when(m.rlike(r"\s\s|[\t\u00a0]"), F.regexp_replace(m, r"[\s\u00a0]+", " ")).otherwise(m)
-    named = F.regexp_replace(F.regexp_replace(m, SCRIPT_WORDS, "jscript"), r"\bjscript[^\s\w]+", "jscript")
-    m = F.when(F.contains(m, F.lit("script")) | F.contains(m, F.lit("skript")) | F.contains(m, F.lit("js")), named).otherwise(m)
-    return F.regexp_replace(F.rtrim(m, F.lit(" .!?…")), r"\d+", "0")
+def mask(df: DataFrame, column: str) -> DataFrame:
+    """Turns the messages of a column into their forms: lower case, single blanks, words for scripts as `jscript`, digits as 0, without marks at
+    the end. Each step is a projection of its own, see `_step`."""
+    df = df.withColumn(column, F.lower(column))
+    df = df.withColumn(column, F.when(F.col(column).rlike(r"\s\s|[\t\n\u00a0]"), F.regexp_replace(column, r"[\s\u00a0]+", " ")).otherwise(F.col(column)))
+    has = F.contains(column, F.lit("script")) | F.contains(column, F.lit("skript")) | F.contains(column, F.lit("js"))
+    named = F.regexp_replace(F.regexp_replace(column, SCRIPT_WORDS, "jscript"), r"\bjscript[^\s\w]+", "jscript")
+    df = df.withColumn(column, F.when(has, named).otherwise(F.col(column)))
+    return df.withColumn(column, F.when(F.col(column) == SLOT, SLOT).otherwise(F.regexp_replace(F.rtrim(column, F.lit(" .!?…")), r"\d+", "0")))
 
 
 def _begins(concepts: tuple[str, ...] | None = None) -> str:
@@ -151,6 +155,9 @@ def filler_in(said: DataFrame) -> DataFrame:
 
 def mine_templates(forms: DataFrame) -> DataFrame:
     """Template of every distinct form: `form`, `template`, `rows`, `apart`. `forms` has `form`, `tokens`, `rows` and `apart` (how many of them)."""
+    # the words a verdict may rest on get a mark, by one expression over the whole form: inside a lambda, a pattern of this length is decoded for every word
+    telling = rf"(?<![^ ])(?=0:*(?: |$)|[^\p{{L}}\p{{N}}< ]*<?/?{verdicts.stem_pattern()})"
+    forms = materialize(forms.withColumn("tokens", F.split(F.regexp_replace(F.array_join("tokens", " "), telling, MARK), " ")), "forms")
     tree = forms.withColumn("n", F.size("tokens")).withColumn("t1", F.col("tokens")[0]).withColumn("t2", F.coalesce(F.get("tokens", F.lit(1)), F.lit("")))
     for keys, token, kept in ((["n"], "t1", "k1"), (["n", "k1"], "t2", "k2")):
         parent = tree.groupBy(*keys).agg(F.sum("rows").alias("all"))
@@ -163,9 +170,8 @@ def mine_templates(forms: DataFrame) -> DataFrame:
     placed = tree.select(*leaf, "rows", F.posexplode("tokens").alias("at", "token")).groupBy(*leaf, "at", "token").agg(F.sum("rows").alias("own"))
     often = placed.join(broadcast_if_small(size), leaf).groupBy(*leaf, "at").agg(F.collect_list(F.when(F.col("own") >= FREQUENT * F.col("all"), F.col("token"))).alias("stay"))
     often = often.groupBy(*leaf).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stay"))), lambda x: x["stay"]).alias("stay"))
-    telling = rf"^(?:0:*$|[^\p{{L}}\p{{N}}<]*<?/?{verdicts.stem_pattern()})"
-    fixed = F.transform("tokens", lambda t, i: F.when(t.rlike(telling) | F.array_contains(F.get("stay", i), t), t).otherwise(F.lit(verdicts.WILDCARD)))
-    return tree.join(broadcast_if_small(often), leaf).select("form", F.array_join(fixed, " ").alias("template"), "rows", "apart")
+    fixed = F.transform("tokens", lambda t, i: F.when(F.startswith(t, F.lit(MARK)) | F.array_contains(F.get("stay", i), t), t).otherwise(F.lit(verdicts.WILDCARD)))
+    return tree.join(broadcast_if_small(often), leaf).select("form", F.translate(F.array_join(fixed, " "), MARK, "").alias("template"), "rows", "apart")
 
 
 def judge(weights: dict[str, float]):
@@ -190,14 +196,15 @@ def find_residue(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     docs = without_markup(docs.withColumn("slot", slots("c")), "c")
     docs = messages(paragraphs(docs, "c"), "c", "m").drop("c")
     docs = docs.withColumn("m", F.when(F.col("slot"), F.array_prepend("m", F.lit(SLOT))).otherwise(F.col("m")))
-    said = docs.select("d", "apart", F.explode_outer("m").alias("m")).where("m is not null").withColumn("form", F.when(F.col("m") == SLOT, SLOT).otherwise(mask(F.col("m")))).drop("m")
+    said = docs.select("d", "apart", F.explode_outer("m").alias("m")).where("m is not null")
+    said = mask(said.withColumnRenamed("m", "form"), "form")
     said = materialize(said.withColumn("tells", (F.col("form") != SLOT) & evidence(F.col("form"))), "messages")
     filler = materialize(filler_in(said.where(F.col("form") != SLOT)), "filler")
     told = said.join(broadcast_if_small(filler), "form", "left").where("tells or filler is not null")
     marks = F.transform(F.split("form", " "), lambda t: F.when(F.array_contains("filler", F.regexp_replace(t, r"[^\p{L}]+", "")), "<filler>").otherwise(t))
     forms = told.groupBy("form").agg(F.first("filler", True).alias("filler"), F.count(F.lit(1)).alias("rows"), F.sum(F.col("apart").cast("int")).alias("apart"))
     forms = forms.select("form", F.when(F.col("filler").isNotNull(), marks).otherwise(F.split("form", " ")).alias("tokens"), "rows", "apart")
-    mined = materialize(mine_templates(materialize(forms, "forms")), "templates")
+    mined = materialize(mine_templates(forms), "templates")
     templates = mined.groupBy("template").agg((F.sum("apart") / F.sum("rows")).alias("apart"))
     judged = templates.select("template", judge(verdicts.weights())("template", "apart").alias("kind")).where("kind is not null")
     bad = materialize(mined.join(broadcast_if_small(materialize(judged, "verdicts")), "template").select("form", "kind"), "bad")
