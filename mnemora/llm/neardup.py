@@ -4,10 +4,10 @@ A text is the set of its runs of `k` consecutive words. A fingerprint is a word
 the field Z_p, p = 2^31 - 1; two texts agree in a symbol with the probability of their similarity. The
 anchors are the codewords of the parity-check code (symbols sum to 0), whose covering radius is 1: every
 fingerprint has a codeword within distance 1 for each coordinate that is corrected. The threshold is one
-differing symbol. In general a fingerprint would have to go to every anchor within radius plus threshold; in
-this code two fingerprints that differ in one coordinate have a codeword within distance 1 of both, namely the
-one that corrects that coordinate, so replication to the `n` anchors within the radius already brings every
-such pair together. Pairs at one anchor are compared on 192-bit sketches, then verified exactly on the sets.
+differing symbol. In general a fingerprint has to go to every anchor within radius plus threshold, here 2; over p
+symbols those are about n * p / 2 anchors, so that can't be done. It needn't: two fingerprints that differ in one
+coordinate have a codeword within distance 1 of both, namely the one that corrects that coordinate, so the `n` anchors
+within the radius already bring every such pair together (the README gives figures for codes over bits). Pairs at one anchor are compared on 192-bit sketches, then verified exactly on the sets.
 
 One table of fingerprints finds a pair of similarity s with probability s^n + n s^(n-1) (1-s). As many tables
 are used as leave a pair exactly at the threshold unfound with probability `miss` at most; more similar pairs
@@ -27,10 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.operators.graph import connected_components
-from mnemora.runtime import materialize
+from mnemora.runtime import broadcast_if_small, materialize
 
 P = np.uint64(2**31 - 1)
 WORDS = 3  # 64-bit words of a sketch
+#: Fingerprints compared in one group; an anchor with more is dealt into cells.
+CELL = 1_000
 _SCHEMA = "row bigint, key binary, n int, s0 bigint, s1 bigint, s2 bigint, anchors array<bigint>, shingles array<bigint>"
 _ARROW = pa.schema(
     [("row", pa.int64()), ("key", pa.binary()), ("n", pa.int32()), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("anchors", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))]
@@ -182,6 +184,28 @@ class NearDuplicates:
         return members.join(labels, "key").select("id", "class_id", "n_links").unionByName(alone)
 
 
+def _meet(sketches: DataFrame, cov: Covering) -> DataFrame:
+    """Pairs of rows (`row_a` < `row_b`) that share an anchor and whose sketches are near.
+
+    Anchors of one fingerprint, by far the most, are left out by a count that is combined before the shuffle. The fingerprints of
+    an anchor are dealt into cells of about CELL; each pair of cells is a group of its own, so the
+    comparisons of a hot anchor spread over as many tasks as it needs, and none is left out.
+    """
+    at = sketches.select("row", "n", "s0", "s1", "s2", F.explode("anchors").alias("anchor"))
+    shared = materialize(at.groupBy("anchor").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("anchor", F.ceil(F.col("held") / CELL).cast("int").alias("cells")), "anchors")
+    at = at.join(broadcast_if_small(shared), "anchor").withColumn("cell", F.pmod(F.xxhash64("row"), F.col("cells")).cast("int"))
+    rest = ("row", "n", "s0", "s1", "s2")
+    other = F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")
+    spread = at.select("anchor", "cell", other, *rest).select("anchor", F.least("cell", "other").alias("low"), F.greatest("cell", "other").alias("high"), "cell", *rest)
+    a, b = (spread.select("anchor", "low", "high", *(F.col(c).alias(f"{c}_{s}") for c in ("cell", *rest))) for s in "ab")
+    distance = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
+    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * cov.threshold
+    # in a group of two cells only pairs across them: those inside a cell meet in its own group
+    across = (F.col("low") == F.col("high")) | (F.col("cell_a") != F.col("cell_b"))
+    met = a.hint("merge").join(b, ["anchor", "low", "high"]).where((F.col("row_a") < F.col("row_b")) & across & sizes & (distance <= cov.far))
+    return met.select("row_a", "row_b").distinct()
+
+
 def near_duplicates(texts: DataFrame, id_column: str, text: str, k: int = 5, threshold: float = 0.8, miss: float = 1e-4) -> NearDuplicates:
     """Texts whose shingle sets have Jaccard similarity >= threshold.
 
@@ -194,12 +218,7 @@ def near_duplicates(texts: DataFrame, id_column: str, text: str, k: int = 5, thr
     rows = rows.select("id", "words", F.when(enough, F.unhex(F.md5("words"))).alias("key"))
     reps = rows.where("key is not null").groupBy("key").agg(F.first("words").alias("words"))
     sketches = materialize(reps.mapInArrow(_fingerprints(k, cov), _SCHEMA), "sketches")
-    at = sketches.select("row", "n", "s0", "s1", "s2", F.explode("anchors").alias("anchor"))
-    a, b = (at.select("anchor", *(F.col(c).alias(f"{c}_{s}") for c in ("row", "n", "s0", "s1", "s2"))) for s in "ab")
-    distance = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("s0_a").bitwiseXOR(F.col("s0_b"))))
-    sizes = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold
-    met = a.hint("merge").join(b, "anchor").where((F.col("row_a") < F.col("row_b")) & sizes & (distance <= cov.far))
-    candidates = met.select("row_a", "row_b").distinct()
+    candidates = _meet(sketches, cov)
     sets = sketches.select("row", "key", "n", "shingles")
     left, right = (sets.select(*(F.col(c).alias(f"{c}_{s}") for c in sets.columns)) for s in "ab")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))

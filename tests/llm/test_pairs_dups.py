@@ -112,6 +112,17 @@ def test_pairs_and_classes(spark):
     check_dups(spark, 5, 0.8, 2)
 
 
+def test_hot_anchor(spark, monkeypatch):
+    """Hundreds of texts at the same anchors, dealt into many cells: all their pairs are found."""
+    monkeypatch.setattr(neardup, "CELL", 7)
+    base = [f"c{i}" for i in range(60)]
+    data = [(f"h{i:03}", " ".join([*base[: i % 50 + 5], f"x{i}", *base[i % 50 + 5 :]])) for i in range(120)]
+    found = neardup.near_duplicates(spark.createDataFrame(data, "id string, text string"), "id", "text", 3, 0.5)
+    sets = {i: shingles(t, 3) for i, t in data}
+    want = {(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5}
+    assert len(want) == 120 * 119 // 2 and {(x.id_a, x.id_b) for x in found.pairs().collect()} == want
+
+
 def test_no_texts(spark):
     found = neardup.near_duplicates(spark.createDataFrame([], "id string, text string"), "id", "text")
     assert rows(found.pairs()) == [] and rows(found.classes()) == []
