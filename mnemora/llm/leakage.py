@@ -1,4 +1,4 @@
-"""Held-out passages that occur in a corpus, by q-gram filtering in diagonal bands and banded alignment.
+"""Held-out passages that occur in a corpus, by q-gram filtering in overlapping diagonal bands and banded alignment.
 
 Both sides are words (runs of a-z and 0-9) joined by single blanks. A leak is a run of `min_words` consecutive
 words of an item that a document holds with at most `max_edits` character edits. Such a run of w characters
@@ -7,8 +7,10 @@ shares at least w - q + 1 - max_edits * q q-grams with the item, all on max_edit
 one band that reaches the bound for the item's shortest run is kept, and every run of words in it is verified
 by alignment within the band. The bound is met by each true leak, so nothing is lost.
 
-The items are a stated query set: they go to every task in blocks of bounded size, and each block meets all
-documents in one narrow pass without a shuffle.
+The corpus is scanned once, whatever the number of items. A task asks a bitmap of the items' q-grams (FILTER_BITS bits, read from
+the shared folder) which of a document's q-grams may occur in an item at all, and passes on the zones around those that
+do: their text and the q-grams. Zones meet the items' q-grams in a join, so neither items nor an index of them go to the driver, and
+all that follows the scan grows with what leaked, not with the corpus.
 """
 
 from __future__ import annotations
@@ -23,16 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemora.llm.neardup import normal_words
-from mnemora.runtime import broadcast_if_small
+from mnemora.runtime import broadcast_if_small, materialize, new_dir
 
-#: Characters of items that one pass takes along (their index is about 40 times as large).
-BLOCK_CHARS = 1_500_000
+#: Bits of the bitmap: 4 MB, however many items there are; with more q-grams than bits it lets more through and loses none.
+FILTER_BITS = 25
 #: Characters of documents handled at once.
 PIECE = 1_000_000
 
-_SCHEMA = "doc_key bigint, item_key bigint, n_words int, edits int"
-_ARROW = pa.schema([("doc_key", pa.int64()), ("item_key", pa.int64()), ("n_words", pa.int32()), ("edits", pa.int32())])
 _BASE = 0x9E3779B97F4A7C15
+_ITEM = pa.schema([("item_key", pa.int64()), ("p", pa.string()), ("need", pa.int32()), ("span", pa.int32()), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())])))])
+_ITEM_SQL = "item_key bigint, p string, need int, span int, grams array<struct<gram:bigint,pos:int>>"
 
 
 def gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
@@ -59,14 +61,23 @@ def gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
         width *= 2
 
 
-def banded_distance(a: bytes, b: bytes, shift: int, limit: int) -> int:
-    """Least edits that turn the whole of `a` into some stretch of `b`, on diagonals shift - limit .. shift + limit; limit + 1 if more.
+def aligned(a: bytes, b: bytes, shift: int, limit: int) -> tuple[int, int]:
+    """Least edits that turn the whole of `a` into some stretch of `b`, on diagonals shift - limit .. shift + limit, and where it ends.
 
-    Position i of `a` may meet b[i + d] for each diagonal d of the band.
+    limit + 1 if more are needed. Position i of `a` may meet b[i + d] for each diagonal d of the band. A diagonal that needs no edit is
+    recognised as a whole, whole words in `b` first.
     """
+    n, inside = len(a), None
+    for d in range(max(0, shift - limit), shift + limit + 1):
+        if b[d : d + n] == a:
+            if _edge(b, d - 1) and _edge(b, d + n):
+                return 0, d + n
+            inside = d + n
+    if inside is not None:
+        return 0, inside
     width, big = 2 * limit + 1, limit + 1
     row = [0 if 0 <= shift - limit + j <= len(b) else big for j in range(width)]
-    for i in range(1, len(a) + 1):
+    for i in range(1, n + 1):
         new, left = [big] * width, big
         for j in range(width):
             p = i + shift - limit + j  # characters of b used
@@ -81,161 +92,187 @@ def banded_distance(a: bytes, b: bytes, shift: int, limit: int) -> int:
             new[j] = left = min(best, big)
         row = new
         if min(row) > limit:
-            return big
-    return min(row)
+            return big, 0
+    least = min(row)
+    return least, n + shift - limit + row.index(least)
 
 
-class Index:
-    """q-grams of a block of items and what verification needs of them."""
+def _edge(text: bytes, p: int) -> bool:
+    return p < 0 or p >= len(text) or text[p] == 32
 
-    def __init__(self, items: list[tuple[int, str]], min_words: int, max_edits: int):
-        self.min_words, self.e = min_words, max_edits
-        self.keys, self.texts, self.starts, self.ends = [], [], [], []
-        shortest = []
-        for key, text in items:
-            words = text.split(" ")
-            if len(words) < min_words:
-                continue
-            ends = np.cumsum([len(w) + 1 for w in words]) - 1
-            starts = np.r_[0, ends[:-1] + 1]
-            self.keys.append(key)
-            self.texts.append(text.encode())
-            self.starts.append(starts)
-            self.ends.append(ends)
-            shortest.append(int((ends[min_words - 1 :] - starts[: len(words) - min_words + 1]).min()))
-        self.longest = max((int((e[min_words - 1 :] - s[: len(s) - min_words + 1]).max()) for s, e in zip(self.starts, self.ends, strict=True)), default=0)
-        least = min(shortest, default=2 * min_words - 1)
-        # the longest q that leaves a bound of a quarter of the shortest run, or 1 at least
-        self.q = max(1, (least + 1 - max(1, least // 4)) // (max_edits + 1))
-        w = np.array(shortest, np.int64)
-        self.need = np.maximum(1, w - self.q + 1 - max_edits * self.q)
-        self.span = w - self.q + max_edits
-        grams, item, pos = [], [], []
-        for i, t in enumerate(self.texts):
-            h = gram_hashes(np.frombuffer(t, np.uint8), self.q)
-            grams.append(h)
-            item.append(np.full(len(h), i))
-            pos.append(np.arange(len(h)))
-        cat = lambda x, t: np.concatenate(x).astype(t) if x else np.empty(0, t)
-        g, self.item, self.pos = cat(grams, np.uint64), cat(item, np.int64), cat(pos, np.int64)
-        order = np.argsort(g, kind="stable")
-        g, self.item, self.pos = g[order], self.item[order], self.pos[order]
-        self.grams, self.first = np.unique(g, return_index=True)
-        self.count = np.diff(np.append(self.first, len(g)))
-        self.filter = np.zeros(1 << 22, bool)
-        self.filter[self.grams >> np.uint64(42)] = True
-
-    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Document position, item number and item position of every shared q-gram."""
-        at = np.flatnonzero(self.filter[h >> np.uint64(42)])
-        i = np.searchsorted(self.grams, h[at])
-        ok = (i < len(self.grams)) & (self.grams[np.minimum(i, len(self.grams) - 1)] == h[at]) if len(self.grams) else np.zeros(len(at), bool)
-        at, i = at[ok], i[ok]
-        n = self.count[i]
-        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        k = np.repeat(self.first[i], n) + inner
-        return np.repeat(at, n), self.item[k], self.pos[k]
-
-    def regions(self, owner: np.ndarray, at: np.ndarray, item: np.ndarray, pos: np.ndarray) -> np.ndarray:
-        """Stretches that meet the bound: rows of owner, item, band's middle diagonal, first and last position."""
-        width = self.e + 1
-        diag = at - pos
-        lowest = np.floor_divide(diag, width)
-        bands = [lowest] if self.e == 0 else [lowest, lowest - 1]  # bands of 2 * width diagonals every width: any width neighbours lie in one
-        found = []
-        for band in bands:
-            order = np.lexsort((at, band, item, owner))
-            o, t, b, p = owner[order], item[order], band[order], at[order]
-            j = np.arange(len(o)) + self.need[t] - 1
-            ok = j < len(o)
-            j = np.minimum(j, len(o) - 1)
-            ok &= (o[j] == o) & (t[j] == t) & (b[j] == b) & (p[j] - p <= self.span[t])
-            i = np.flatnonzero(ok)
-            if len(i):
-                middle = b[i] * width + (width if self.e else 0)
-                found.append(np.stack((o[i], t[i], middle, p[i], p[j[i]]), 1))
-        if not found:
-            return np.empty((0, 5), np.int64)
-        r = np.concatenate(found)
-        r = r[np.lexsort((r[:, 3], r[:, 2], r[:, 1], r[:, 0]))]
-        new = np.ones(len(r), bool)
-        new[1:] = (r[1:, :3] != r[:-1, :3]).any(1) | (r[1:, 3] > r[:-1, 4])  # ends rise with starts: an item has one bound
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(r))
-        return np.array([[*r[s, :4], r[s:e, 4].max()] for s, e in zip(begin, end, strict=True)], np.int64)
-
-    def verify(self, doc: bytes, t: int, middle: int, lo: int, hi: int) -> tuple[int, int] | None:
-        """Longest leaked run of words at this region and its edits; None if there is none."""
-        text, starts, ends = self.texts[t], self.starts[t], self.ends[t]
-        if self.e == 0:
-            a, b = lo - middle, hi - middle + self.q  # in the item; extend while both sides agree
-            n = len(text)
-            while a > 0 and a + middle > 0 and text[a - 1] == doc[a + middle - 1]:
-                a -= 1
-            while b < n and b + middle < len(doc) and text[b] == doc[b + middle]:
-                b += 1
-            # whole words on both sides
-            i, k = bisect_left(starts, a), bisect_left(ends, b + 1) - 1
-            edge = lambda p: p < 0 or p >= len(doc) or doc[p] == 32
-            if i < len(starts) and not edge(int(starts[i]) + middle - 1):
-                i += 1
-            if k >= 0 and not edge(int(ends[k]) + middle):
-                k -= 1
-            return (k - i + 1, 0) if k - i + 1 >= self.min_words else None
-        best = None
-        reach = 2 * self.e + 1
-        a, b = lo - middle - reach - self.longest, hi - middle + self.q + reach + self.longest
-        for i in range(max(0, bisect_left(starts, a)), len(starts) - self.min_words + 1):
-            s, e = int(starts[i]), int(ends[i + self.min_words - 1])
-            if e > b:
-                break
-            d = banded_distance(text[s:e], doc, s + middle, reach)
-            if d <= self.e and (best is None or d < best[1]):
-                best = (self.min_words, d)
-                if d == 0:
-                    break
-        return best
 
+def _bounds(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Starts and ends of the words, characters of the shortest and of the longest run of `min_words` (0 if there is none)."""
+    words = text.split(" ")
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    if len(words) < min_words:
+        return starts, ends, 0, 0
+    runs = ends[min_words - 1 :] - starts[: len(words) - min_words + 1]
+    return starts, ends, int(runs.min()), int(runs.max())
+
+
+def _item_rows(q: int, min_words: int, max_edits: int):
+    """q-grams of items and what counting them needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = _bounds(text, min_words)[2]
+                h = gram_hashes(np.frombuffer(text.encode(), np.uint8), q).view(np.int64).tolist()
+                out.append({"item_key": key, "p": text, "need": max(1, w - q + 1 - max_edits * q), "span": w - q + max_edits, "grams": [{"gram": g, "pos": i} for i, g in enumerate(h)]})
+            yield pa.RecordBatch.from_pylist(out, schema=_ITEM)
+
+    return run
+
+
+def _bitmap(size: int):
+    """Bits of the q-grams of one partition, as rows of (word, bits) for the words that are not 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << (size - 3), np.uint8)
+        for b in batches:
+            at = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - size)
+            np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+        words = bits.view(np.int64)
+        full = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(words[full], pa.int64())], names=["word", "bits"])
+
+    return run
+
+
+def _read_bitmap(path: str, size: int) -> np.ndarray:
+    """The bitmap from the shared folder, through the file system its address names."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    system, inside = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    words = np.zeros(1 << (size - 6), np.int64)
+    for f in system.get_file_info(fs.FileSelector(inside)):
+        if f.base_name.endswith(".parquet"):
+            t = pq.read_table(f.path, filesystem=system)
+            words[t["word"].to_numpy()] = t["bits"].to_numpy()
+    return words.view(np.uint8)
+
+
+def _zones(path: str, filter_bits: int, q: int, longest: int, least: int, max_edits: int, out: pa.Schema):
+    """Stretches of documents whose q-grams may be an item's: id, begin, text, and (q-gram, position in the document)."""
+    gap = longest + 2 * max_edits + q  # hits of one run are never further apart
+    pad = longest + 4 * max_edits + q + 2
 
-def _scan(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
+            if bits is None:
+                bits = _read_bitmap(path, filter_bits)
             texts = b.column(1).cast(pa.string())
             size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
             lo = 0
             while lo < len(texts):
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + PIECE)))
-                part = [t.encode() for t in texts.slice(lo, hi - lo).to_pylist()]
-                yield from _scan_part(index, keys[lo:hi], part)
+                yield from part(bits, b.column(0), [t.encode() for t in texts.slice(lo, hi - lo).to_pylist()], lo)
                 lo = hi
 
+    def part(bits: np.ndarray, ids: pa.Array, docs: list[bytes], first: int) -> Iterator[pa.RecordBatch]:
+        buffer = np.frombuffer(b"\n".join(docs), np.uint8)
+        begin = np.cumsum([0] + [len(d) + 1 for d in docs])
+        at, grams = [], []
+        for off in range(0, max(1, len(buffer)), 4 * PIECE):  # a document longer than a piece goes in pieces that overlap by a q-gram
+            h = gram_hashes(buffer[off : off + 4 * PIECE + q - 1], q)
+            top = h >> np.uint64(64 - filter_bits)
+            seen = np.flatnonzero((bits[top >> np.uint64(3)] >> (top & np.uint64(7)).astype(np.uint8)) & 1)
+            at.append(seen + off)
+            grams.append(h[seen].view(np.int64))
+        at, grams = np.concatenate(at), np.concatenate(grams)
+        if not len(at):
+            return
+        owner = np.searchsorted(begin, at, side="right") - 1
+        new = np.ones(len(at), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (at[1:] - at[:-1] > gap)
+        start = np.flatnonzero(new)
+        end = np.append(start[1:], len(at))
+        kept = np.flatnonzero(end - start >= least)
+        rows: dict[str, list] = {"i": [], "begin": [], "zone": [], "hits": []}
+        for s, e in zip(start[kept].tolist(), end[kept].tolist(), strict=True):
+            o = int(owner[s])
+            base = int(begin[o])
+            a, z = max(0, int(at[s]) - base - pad), int(at[e - 1]) - base + q + pad
+            rows["i"].append(first + o)
+            rows["begin"].append(a)
+            rows["zone"].append(docs[o][a:z].decode())
+            rows["hits"].append([{"gram": g, "at": p - base} for g, p in zip(grams[s:e].tolist(), at[s:e].tolist(), strict=True)])
+        if rows["i"]:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows["i"], pa.int64())), *(pa.array(rows[c], out.field(c).type) for c in ("begin", "zone", "hits"))], schema=out)
+
     return run
 
 
-def _scan_part(index: Index, keys: np.ndarray, docs: list[bytes]) -> Iterator[pa.RecordBatch]:
-    buffer = np.frombuffer(b"\n".join(docs), np.uint8)
-    begin = np.cumsum([0] + [len(d) + 1 for d in docs])
-    overlap = index.longest + 2 * index.e + index.q
-    best: dict[tuple[int, int], tuple[int, int]] = {}
-    # a document longer than a piece is read in overlapping pieces; every run lies whole in one of them
-    for off in range(0, max(1, len(buffer)), 4 * PIECE):
-        piece = buffer[off : off + 4 * PIECE + overlap]
-        at, item, pos = index.hits(gram_hashes(piece, index.q))
-        if not len(at):
-            continue
-        at = at + off
-        owner = np.searchsorted(begin, at, side="right") - 1
-        for o, t, middle, lo, hi in index.regions(owner, at - begin[owner], item, pos).tolist():
-            known = best.get((o, t))
-            if index.e and known and known[1] == 0:
-                continue
-            got = index.verify(docs[o], t, middle, lo, hi)
-            if got and (known is None or (-got[0], got[1]) < (-known[0], known[1]) and index.e == 0 or known and got[1] < known[1]):
-                best[o, t] = got
-    if best:
-        rows = [(int(keys[o]), index.keys[t], n, e) for (o, t), (n, e) in best.items()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+def regions(at: np.ndarray, pos: np.ndarray, need: int, span: int, max_edits: int) -> list[tuple[int, int, int]]:
+    """Stretches of overlapping bands of diagonals that meet the bound: the band's middle diagonal, first and last hit in the document."""
+    width = max_edits + 1
+    lowest = np.floor_divide(at - pos, width)
+    found: list[tuple[int, int, int]] = []
+    for band in (lowest, lowest - 1):  # bands of 2 * width diagonals every width: any width neighbours lie in one
+        order = np.lexsort((at, band))
+        b, p = band[order], at[order]
+        j = np.arange(len(b)) + need - 1
+        ok = j < len(b)
+        j = np.minimum(j, len(b) - 1)
+        ok &= (b[j] == b) & (p[j] - p <= span)
+        for i in np.flatnonzero(ok).tolist():
+            middle, lo, hi = int(b[i]) * width + width, int(p[i]), int(p[j[i]])
+            if found and found[-1][0] == middle and lo <= found[-1][2]:
+                found[-1] = (middle, found[-1][1], max(hi, found[-1][2]))
+            else:
+                found.append((middle, lo, hi))
+    return found
+
+
+def verify(text: str, zone: bytes, found: list[tuple[int, int, int]], q: int, min_words: int, max_edits: int) -> tuple[int, int] | None:
+    """Words and edits of the best leaked run at the regions (positions within the zone); None if no run is within the edits."""
+    starts, ends, _, longest = _bounds(text, min_words)
+    whole, best = text.encode(), None
+    reach = 2 * max_edits + 1
+    for middle, lo, hi in found:
+        a, b = lo - middle - reach - longest, hi - middle + q + reach + longest
+        for i in range(max(0, bisect_left(starts, a)), len(starts) - min_words + 1):
+            s, e = int(starts[i]), int(ends[i + min_words - 1])
+            if e > b:
+                break
+            d, stop = aligned(whole[s:e], zone, s + middle, reach)
+            if d == 0 and not (_edge(zone, stop) and _edge(zone, stop - (e - s) - 1)):
+                d = 1  # a blank is missing
+            if d <= max_edits and (best is None or d < best[1]):
+                k = i + min_words
+                while k < len(starts) and zone[stop : stop + 1 + int(ends[k] - starts[k])] == whole[int(starts[k]) - 1 : int(ends[k])] and _edge(zone, stop + 1 + int(ends[k] - starts[k])):
+                    stop += 1 + int(ends[k] - starts[k])
+                    k += 1
+                best = (k - i, d)
+                if d == 0:
+                    return best
+    return best
+
+
+def _verified(q: int, min_words: int, max_edits: int, out: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at_row, words, edits = [], [], []
+            for r in range(b.num_rows):
+                begin, need, span = (b.column(c)[r].as_py() for c in ("begin", "need", "span"))
+                flat = b.column("met")[r].values
+                at, pos = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "pos"))
+                stretches = regions(at - begin, pos, need, span, max_edits)
+                got = verify(b.column("p")[r].as_py(), b.column("zone")[r].as_py().encode(), stretches, q, min_words, max_edits) if stretches else None
+                if got:
+                    at_row.append(r)
+                    words.append(got[0])
+                    edits.append(got[1])
+            if at_row:
+                i = pa.array(at_row, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(i), b.column("item_key").take(i), pa.array(words, pa.int32()), pa.array(edits, pa.int32())], schema=out)
+
+    return run
 
 
 def leaks(
@@ -243,45 +280,43 @@ def leaks(
 ) -> DataFrame:
     """Documents that hold a run of `min_words` words of an item: `doc_id`, `item_id`, `n_words`, `edits`.
 
-    Without edits n_words is the longest shared run on one diagonal; with edits it is `min_words`, and `edits` the fewest
-    of any run. One row per (document row, item). Null texts and ids and items shorter than `min_words` give no
-    rows; a repeated item row counts once, a document row as often as it occurs. Empty tables give no rows.
-    Ids may be of any type; a document id must fit the row number that stands for it, so ids are joined back by
-    value only when they are not whole numbers.
+    `edits` are the fewest of any run, `n_words` the words of that run and of its unedited continuation. One row per (document id,
+    item id). Null texts and ids and items shorter than `min_words` give no rows; repeated rows count once, an id with several texts
+    is affected by each. Empty tables give no rows. Ids may be of any type Arrow has and are never hashed.
     """
-    kinds = dict(documents.dtypes)[doc_id], dict(items.dtypes)[item_id]
-    wanted = items.select(F.col(item_id).alias("i"), normal_words(passage).alias("p")).where("i is not null and p <> ''").distinct()
     spark = documents.sparkSession
+    kinds = {"d": dict(documents.dtypes)[doc_id], "i": dict(items.dtypes)[item_id]}
+    none = spark.createDataFrame([], f"`{doc_id}` {kinds['d']}, `{item_id}` {kinds['i']}, n_words int, edits int")
+    named = items.select(F.col(item_id).alias("i"), normal_words(passage).alias("p")).where("i is not null")
+    words = F.split("p", " ")
+    named = materialize(named.distinct().where(F.size(words) >= min_words).withColumn("item_key", F.monotonically_increasing_id()), "items")
+    # characters of the shortest and longest run of any item: one row
+    sizes = F.transform(words, F.length)
+    run = F.transform(F.sequence(F.lit(0), F.size(words) - min_words), lambda i: F.aggregate(F.slice(sizes, i + 1, min_words), F.lit(min_words - 1), lambda s, x: s + x))
+    least, longest = named.select(run.alias("r")).agg(F.min(F.array_min("r")), F.max(F.array_max("r"))).first()
+    if least is None:
+        return none
+    # the longest q that leaves a bound of a quarter of the shortest run, or 1 at least
+    q = max(1, (least + 1 - max(1, least // 4)) // (max_edits + 1))
+    index = materialize(named.select("item_key", "p").mapInArrow(_item_rows(q, min_words, max_edits), _ITEM_SQL), "item-grams")
+    fewest = index.agg(F.min("need")).first()[0]
+    path = new_dir(spark, "bitmap")
+    grams = index.select(F.explode("grams").alias("g"), "item_key").select("g.gram", "g.pos", "item_key")
+    parts = grams.select("gram").mapInArrow(_bitmap(FILTER_BITS), "word int, bits bigint")
+    parts.groupBy("word").agg(F.bit_or("bits").alias("bits")).coalesce(1).write.parquet(path)
     docs = documents.select(F.col(doc_id).alias("d"), normal_words(text).alias("t")).where("d is not null and t <> ''")
-    whole = kinds[0] in ("bigint", "int", "smallint", "tinyint")
-    docs = docs.select(F.col("d").cast("bigint").alias("d") if whole else F.xxhash64("d").alias("d"), "t")
-    blocks = _blocks(wanted)
-    names: list = []
-    found = None
-    for block in blocks:
-        numbered = []
-        for i, p in block:
-            numbered.append((len(names), p))
-            names.append(i)
-        part = docs.mapInArrow(_scan(Index(numbered, min_words, max_edits)), _SCHEMA)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], _SCHEMA)
-    lookup = spark.createDataFrame(list(enumerate(names)), f"item_key bigint, {item_id} {kinds[1]}") if names else spark.createDataFrame([], f"item_key bigint, {item_id} {kinds[1]}")
-    out = found.join(broadcast_if_small(lookup), "item_key")
-    if whole:
-        out = out.withColumn(doc_id, F.col("doc_key").cast(kinds[0]))
-    else:
-        ids = documents.select(F.col(doc_id), F.xxhash64(doc_id).alias("doc_key")).where(F.col(doc_id).isNotNull()).distinct()
-        out = out.join(ids, "doc_key")
-    return out.select(doc_id, item_id, "n_words", "edits")
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple[object, str]]]:
-    """The query set in blocks of at most about BLOCK_CHARS characters, one block on the driver at a time."""
-    total = items.agg(F.sum(F.length("p"))).first()[0] or 0
-    n = -(-total // BLOCK_CHARS)
-    for b in range(n):
-        rows = items.where(F.pmod(F.xxhash64("i", "p"), F.lit(n)) == b).collect()
-        if rows:
-            yield [(r[0], r[1]) for r in sorted(rows, key=str)]
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(docs.schema["d"].dataType)
+    hit = pa.list_(pa.struct([("gram", pa.int64()), ("at", pa.int64())]))
+    shape = pa.schema([("d", kind), ("begin", pa.int64()), ("zone", pa.string()), ("hits", hit)])
+    zones = docs.mapInArrow(_zones(path, FILTER_BITS, q, longest, fewest, max_edits, shape), f"d {kinds['d']}, begin bigint, zone string, hits array<struct<gram:bigint,at:bigint>>")
+    zones = materialize(zones.withColumn("z", F.monotonically_increasing_id()), "zones")
+    met = zones.select("z", F.explode("hits").alias("h")).select("z", "h.gram", "h.at").join(broadcast_if_small(materialize(grams, "grams")), "gram")
+    met = met.groupBy("z", "item_key").agg(F.collect_list(F.struct("at", "pos")).alias("met"), F.count(F.lit(1)).alias("n"))
+    pairs = met.join(broadcast_if_small(index.select("item_key", "p", "need", "span")), "item_key").where("n >= need").join(zones.select("z", "d", "begin", "zone"), "z")
+    shape = pa.schema([("d", kind), ("item_key", pa.int64()), ("n_words", pa.int32()), ("edits", pa.int32())])
+    found = pairs.select("d", "item_key", "begin", "zone", "p", "need", "span", "met").mapInArrow(_verified(q, min_words, max_edits, shape), f"d {kinds['d']}, item_key bigint, n_words int, edits int")
+    found = found.join(broadcast_if_small(named.select("item_key", "i")), "item_key")
+    best = found.groupBy("d", "i").agg(F.min(F.struct("edits", (-F.col("n_words")).alias("w"))).alias("b"))
+    return best.select(F.col("d").alias(doc_id), F.col("i").alias(item_id), (-F.col("b.w")).cast("int").alias("n_words"), F.col("b.edits").alias("edits"))

@@ -48,7 +48,7 @@ def corpus(seed):
 @pytest.mark.parametrize("budget", [0, 1, 2])
 def test_leaks(spark, budget, monkeypatch):
     monkeypatch.setattr(leakage, "PIECE", 400)
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(leakage, "FILTER_BITS", 12)
     docs, items = corpus(budget)
     docs.append((950, " ".join(["filler"] * 3000) + " " + items[3][1] + " " + " ".join(["more"] * 800)))
     got = leakage.leaks(
