@@ -33,8 +33,8 @@ FILTER_BITS = 25
 PIECE = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15
-_ITEM = pa.schema([("item_key", pa.int64()), ("p", pa.string()), ("need", pa.int32()), ("span", pa.int32()), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())])))])
-_ITEM_SQL = "item_key bigint, p string, need int, span int, grams array<struct<gram:bigint,pos:int>>"
+_ITEM = pa.schema([("item_key", pa.int64()), ("p", pa.string()), ("need", pa.int32()), ("grams", pa.list_(pa.struct([("gram", pa.int64()), ("pos", pa.int32())])))])
+_ITEM_SQL = "item_key bigint, p string, need int, grams array<struct<gram:bigint,pos:int>>"
 
 
 def gram_hashes(chars: np.ndarray, q: int) -> np.ndarray:
@@ -121,7 +121,7 @@ def _item_rows(q: int, min_words: int, max_edits: int):
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 w = _bounds(text, min_words)[2]
                 h = gram_hashes(np.frombuffer(text.encode(), np.uint8), q).view(np.int64).tolist()
-                out.append({"item_key": key, "p": text, "need": max(1, w - q + 1 - max_edits * q), "span": w - q + max_edits, "grams": [{"gram": g, "pos": i} for i, g in enumerate(h)]})
+                out.append({"item_key": key, "p": text, "need": max(1, w - q + 1 - max_edits * q), "grams": [{"gram": g, "pos": i} for i, g in enumerate(h)]})
             yield pa.RecordBatch.from_pylist(out, schema=_ITEM)
 
     return run
@@ -185,6 +185,15 @@ def _zones(path: str, filter_bits: int, q: int, longest: int, least: int, max_ed
             at.append(seen + off)
             grams.append(h[seen].view(np.int64))
         at, grams = np.concatenate(at), np.concatenate(grams)
+        if not len(at):
+            return
+        # of a run, some `least` hits lie within least - 1 + max_edits * (q + 1): its q-grams without those an edit touches
+        near = np.zeros(len(at), bool)
+        if len(at) >= least:
+            near[: len(at) - least + 1] = at[least - 1 :] - at[: len(at) - least + 1] <= least - 1 + max_edits * (q + 1)
+        ahead = np.cumsum(np.r_[near, np.zeros(least, bool)])
+        dense = ahead[: len(at)] - np.r_[np.zeros(least, np.int64), ahead][: len(at)] > 0
+        at, grams = at[dense], grams[dense]
         if not len(at):
             return
         owner = np.searchsorted(begin, at, side="right") - 1
@@ -208,27 +217,6 @@ def _zones(path: str, filter_bits: int, q: int, longest: int, least: int, max_ed
     return run
 
 
-def regions(at: np.ndarray, pos: np.ndarray, need: int, span: int, max_edits: int) -> list[tuple[int, int, int]]:
-    """Stretches of overlapping bands of diagonals that meet the bound: the band's middle diagonal, first and last hit in the document."""
-    width = max_edits + 1
-    lowest = np.floor_divide(at - pos, width)
-    found: list[tuple[int, int, int]] = []
-    for band in (lowest, lowest - 1):  # bands of 2 * width diagonals every width: any width neighbours lie in one
-        order = np.lexsort((at, band))
-        b, p = band[order], at[order]
-        j = np.arange(len(b)) + need - 1
-        ok = j < len(b)
-        j = np.minimum(j, len(b) - 1)
-        ok &= (b[j] == b) & (p[j] - p <= span)
-        for i in np.flatnonzero(ok).tolist():
-            middle, lo, hi = int(b[i]) * width + width, int(p[i]), int(p[j[i]])
-            if found and found[-1][0] == middle and lo <= found[-1][2]:
-                found[-1] = (middle, found[-1][1], max(hi, found[-1][2]))
-            else:
-                found.append((middle, lo, hi))
-    return found
-
-
 def verify(text: str, zone: bytes, found: list[tuple[int, int, int]], q: int, min_words: int, max_edits: int) -> tuple[int, int] | None:
     """Words and edits of the best leaked run at the regions (positions within the zone); None if no run is within the edits."""
     starts, ends, _, longest = _bounds(text, min_words)
@@ -259,11 +247,8 @@ def _verified(q: int, min_words: int, max_edits: int, out: pa.Schema):
         for b in batches:
             at_row, words, edits = [], [], []
             for r in range(b.num_rows):
-                begin, need, span = (b.column(c)[r].as_py() for c in ("begin", "need", "span"))
-                flat = b.column("met")[r].values
-                at, pos = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "pos"))
-                stretches = regions(at - begin, pos, need, span, max_edits)
-                got = verify(b.column("p")[r].as_py(), b.column("zone")[r].as_py().encode(), stretches, q, min_words, max_edits) if stretches else None
+                stretches = [(x["middle"], x["lo"], x["hi"]) for x in b.column("regions")[r].as_py()]
+                got = verify(b.column("p")[r].as_py(), b.column("zone")[r].as_py().encode(), stretches, q, min_words, max_edits)
                 if got:
                     at_row.append(r)
                     words.append(got[0])
@@ -312,11 +297,18 @@ def leaks(
     shape = pa.schema([("d", kind), ("begin", pa.int64()), ("zone", pa.string()), ("hits", hit)])
     zones = docs.mapInArrow(_zones(path, FILTER_BITS, q, longest, fewest, max_edits, shape), f"d {kinds['d']}, begin bigint, zone string, hits array<struct<gram:bigint,at:bigint>>")
     zones = materialize(zones.withColumn("z", F.monotonically_increasing_id()), "zones")
-    met = zones.select("z", F.explode("hits").alias("h")).select("z", "h.gram", "h.at").join(broadcast_if_small(materialize(grams, "grams")), "gram")
-    met = met.groupBy("z", "item_key").agg(F.collect_list(F.struct("at", "pos")).alias("met"), F.count(F.lit(1)).alias("n"))
-    pairs = met.join(broadcast_if_small(index.select("item_key", "p", "need", "span")), "item_key").where("n >= need").join(zones.select("z", "d", "begin", "zone"), "z")
+    # hits per diagonal band of max_edits + 1, then bands of twice that width at every one of them: any max_edits + 1 neighbours lie in one
+    width = max_edits + 1
+    met = zones.select("z", "begin", F.explode("hits").alias("h")).select("z", (F.col("h.at") - F.col("begin")).alias("at"), "h.gram").join(broadcast_if_small(materialize(grams, "grams")), "gram")
+    met = met.groupBy("z", "item_key", F.expr(f"cast(floor((at - pos) / {width}) as bigint)").alias("low")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    bands = met.withColumn("band", F.explode(F.array(F.col("low") - 1, "low"))).groupBy("z", "item_key", "band").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    bands = bands.join(broadcast_if_small(index.select("item_key", "need")), "item_key").where("n >= need")
+    kept = materialize(bands.select("z", "item_key", (F.col("band") * width + width).alias("middle"), "lo", "hi"), "regions")
+    # a document and an item share no more regions than there are bands between their ends
+    near = kept.groupBy("z", "item_key").agg(F.collect_list(F.struct("middle", "lo", "hi")).alias("regions"))
+    pairs = near.join(broadcast_if_small(index.select("item_key", "p")), "item_key").join(zones.select("z", "d", "zone"), "z")
     shape = pa.schema([("d", kind), ("item_key", pa.int64()), ("n_words", pa.int32()), ("edits", pa.int32())])
-    found = pairs.select("d", "item_key", "begin", "zone", "p", "need", "span", "met").mapInArrow(_verified(q, min_words, max_edits, shape), f"d {kinds['d']}, item_key bigint, n_words int, edits int")
+    found = pairs.select("d", "item_key", "zone", "p", "regions").mapInArrow(_verified(q, min_words, max_edits, shape), f"d {kinds['d']}, item_key bigint, n_words int, edits int")
     found = found.join(broadcast_if_small(named.select("item_key", "i")), "item_key")
     best = found.groupBy("d", "i").agg(F.min(F.struct("edits", (-F.col("n_words")).alias("w"))).alias("b"))
     return best.select(F.col("d").alias(doc_id), F.col("i").alias(item_id), (-F.col("b.w")).cast("int").alias("n_words"), F.col("b.edits").alias("edits"))

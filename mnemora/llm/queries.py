@@ -113,8 +113,8 @@ LEAK_WORDS = 12
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    """Leaks of twelve whole words: those of `p6_edited`, found by bands and alignment with room for an edit, that need none."""
-    return p6_edited(spark, sf).where("edits = 0").select("doc_id", "item_id")
+    """Leaks of twelve whole words: bands and alignment with no room for an edit."""
+    return leakage.leaks(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "eval_items"), "item_id", "passage", LEAK_WORDS).select("doc_id", "item_id")
 
 
 def p6_edited(spark: SparkSession, sf: str) -> DataFrame:
