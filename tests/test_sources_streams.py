@@ -87,9 +87,10 @@ def test_streams(spark, tmp_path):
 
 
 def test_atoms(spark):
-    assert units("- one thing here\n- two things here") == ["one thing here", "two things here"]
-    assert units("Para one.\n\nPara two.") == ["Para one.", "Para two."]
-    assert units("A short one. Another. " + "x" * 190 + ". End.") == ["A short one. Another.", "x" * 190 + ". End."]
+    cut = lambda t: spark.createDataFrame([(t,)], "t string").select(units("t").alias("u")).first().u
+    assert cut("- one thing here\n- two things here") == ["one thing here", "two things here"]
+    assert cut("Para one.\n\nPara two.") == ["Para one.", "Para two."]
+    assert cut("A short one. Another. " + "x" * 190 + ". End.") == ["A short one. Another.", "x" * 190 + ". End."]
     df = spark.createDataFrame([(1, "Never write on 2020-05-01 or 2020-02-01 here. tiny"), (2, None), (3, "")], "id int, t string")
     got = rule_atoms(df, "id", "t").collect()
     assert len(got) == 1 and (got[0].kind, got[0].valid_from, got[0].valid_to) == ("feedback", "2020-02-01", "2020-05-01")
