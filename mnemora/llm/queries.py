@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemora.llm import cooccurrence, leakage, mixing, neardup, residue
+from mnemora.operators.sessions import epoch_micros
 from mnemora.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +25,10 @@ PAIR_MIN_SITTINGS, PAIR_MIN_EDGES, PAIR_MIN_LIFT = 15, 40, 5
 def sitting_baskets(spark: SparkSession, sf: str) -> DataFrame:
     """Each sitting is a basket of its nodes; replay is none. A later delivery is a later version."""
     rows = table(spark, sf, "sittings").where("coalesce(provenance, 'genuine') <> 'replay'")
+    # a sitting without an id is known by its content, so that a second delivery is the same sitting
+    content = F.md5(F.to_json(F.struct("workspace", epoch_micros("t", "day").alias("us"), "events", "provenance")))
     return rows.select(
-        F.coalesce(F.col("sitting_id").cast("string"), F.concat(F.lit("row-"), F.monotonically_increasing_id())).alias("key"),
+        F.coalesce(F.col("sitting_id").cast("string"), F.concat(F.lit("row-"), content)).alias("key"),
         F.coalesce(F.transform(F.flatten(F.filter("events", lambda e: e.isNotNull())), _node), F.array().cast("array<string>")).alias("items"),
         F.lit(1).alias("weight"), F.unix_micros(F.col("arrived_at").cast("timestamp")).alias("version"),
     )
@@ -41,18 +44,30 @@ def edge_baskets(spark: SparkSession, sf: str) -> DataFrame:
     ).where(src != dst)
 
 
+def _increments(baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What arrived by the middle of the time of arrival, and the rest; of a basket delivered again, one part may hold the old and the other the new."""
+    low, high = baskets.agg(F.min("version"), F.max("version")).first()
+    middle = 0 if low is None else (low + high) // 2
+    return baskets.where(F.col("version").isNull() | (F.col("version") < middle)), baskets.where(F.col("version") >= middle)
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    sittings = cooccurrence.PairTable(spark).apply(sitting_baskets(spark, sf)).scores(PAIR_MIN_SITTINGS, 1, PAIR_MIN_LIFT)
-    edges = cooccurrence.PairTable(spark).apply(edge_baskets(spark, sf)).scores(PAIR_MIN_EDGES, 2, PAIR_MIN_LIFT)
-    out = lambda basis, df: df.select(F.lit(basis).alias("basis"), "node_a", "node_b")
-    return out("sittings", sittings).unionByName(out("edges", edges))
+    """Pairs far beyond chance, kept up over two increments: the second changes baskets of the first, and only pairs it affects are scored again."""
+
+    def found(basis: str, baskets: DataFrame, least: int, factor: int) -> DataFrame:
+        state = cooccurrence.PairTable(spark)
+        for part in _increments(baskets):
+            state.apply(part).refresh(least)
+        return state.scores(least, factor, PAIR_MIN_LIFT).select(F.lit(basis).alias("basis"), "node_a", "node_b")
+
+    return found("sittings", sitting_baskets(spark, sf), PAIR_MIN_SITTINGS, 1).unionByName(found("edges", edge_baskets(spark, sf), PAIR_MIN_EDGES, 2))
 
 
 def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts and scores of the sittings' pairs after two increments: what arrived by noon of a middle day, then the rest."""
-    baskets = sitting_baskets(spark, sf)
-    noon = F.unix_micros(F.lit("2010-01-20 12:00:00").cast("timestamp"))
-    state = cooccurrence.PairTable(spark).apply(baskets.where(F.col("version") < noon)).apply(baskets.where(F.col("version").isNull() | (F.col("version") >= noon)))
+    """Counts and scores of all the sittings' pairs after two increments."""
+    state = cooccurrence.PairTable(spark)
+    for part in _increments(sitting_baskets(spark, sf)):
+        state.apply(part)
     return state.scores(1, 1, 0).select("node_a", "node_b", "n_ab", "n_a", "n_b", "score")
 
 
@@ -79,7 +94,7 @@ select 'edges', node_a, node_b from c join ma x on x.node = node_a join ma y on
 where c.n >= {PAIR_MIN_EDGES} and 2 * t.n * c.n >= {PAIR_MIN_LIFT} * x.n * y.n""",
     "p2_scores": rf"""with {_BASKET_SQL}
 select node_a, node_b, nab.n n_ab, x.n n_a, y.n n_b, 1.0::double * nab.n * tot.n / (x.n::double * y.n) score
-from nab join na x on x.node = node_a join na y on y.node = node_b, tot where nab.n >= 2""",
+from nab join na x on x.node = node_a join na y on y.node = node_b, tot""",
 }
 
 QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_scores": p2_scores}

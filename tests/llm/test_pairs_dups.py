@@ -60,6 +60,34 @@ def test_increments_match_recount(spark, monkeypatch):
     assert {(x.node_a, x.node_b) for x in again.scores(affected=hit).collect()} == {p for p in pairs if "a" in p}
 
 
+def test_crash_and_resume(spark, monkeypatch):
+    """What a change left before its manifest was written is written over; versions are merged and stored scores follow every change."""
+    monkeypatch.setattr(cooccurrence, "COMPACT", 3)
+    schema = "key string, items array<string>, weight bigint, version bigint"
+    batch = lambda n: spark.createDataFrame([(f"k{i}", ["a", "b", f"x{(i + n) % 5}"], 1, n) for i in range(n, n + 6)], schema)
+    state = cooccurrence.PairTable(spark, buckets=2).apply(batch(1)).refresh(2)
+
+    def stop():
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(state, "_commit", stop)
+    try:
+        state.apply(batch(2))
+    except RuntimeError:
+        pass
+    again = cooccurrence.PairTable.load(spark, state.path)
+    truth = {}
+    for n in (1, 2, 3, 4, 5):
+        if n > 1:
+            again.apply(batch(n)).refresh(2)
+        truth |= {f"k{i}": (["a", "b", f"x{(i + n) % 5}"], 1) for i in range(n, n + 6)}
+        pairs, items, total = count(truth)
+        assert again.total == total
+        want = {(*p, c, items[p[0]], items[p[1]]) for p, c in pairs.items() if c >= 2}
+        assert {tuple(r)[:5] for r in again.scores(2).collect()} == want, n
+    assert max(map(len, again.where["pairs"].values())) < 3
+
+
 def test_no_baskets(spark):
     state = cooccurrence.PairTable(spark).apply(spark.createDataFrame([], "key string, items array<string>, weight bigint, version bigint"))
     assert state.total == 0 and state.scores(1, 1, 2).count() == 0
