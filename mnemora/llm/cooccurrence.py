@@ -204,11 +204,19 @@ class PairTable:
 
     def pairs(self) -> DataFrame:
         """node_a, node_b, n_ab."""
-        return self._read("pairs", _PAIRS).groupBy("node_a", "node_b").agg(F.sum("n_ab").alias("n_ab")).where("n_ab <> 0")
+        return self._summed("pairs", _PAIRS, ("node_a", "node_b"), "n_ab")
 
     def items(self) -> DataFrame:
         """node, n."""
-        return self._read("items", _ITEMS).groupBy("node").agg(F.sum("n").alias("n")).where("n <> 0")
+        return self._summed("items", _ITEMS, ("node",), "n")
+
+    def _summed(self, table: str, schema: str, keys: tuple[str, ...], count: str) -> DataFrame:
+        """Sums over versions; buckets of a single version hold them already and go without a shuffle."""
+        single, several = ([b for b, vs in self.where[table].items() if (len(vs) > 1) == more] for more in (False, True))
+        summed = self._read(table, schema, several).groupBy(*keys).agg(F.sum(count).alias(count)).where(f"{count} <> 0")
+        if not several:
+            return self._read(table, schema, single)
+        return self._read(table, schema, single).unionByName(summed) if single else summed
 
     def _joined(self, min_count: int, affected: DataFrame | None = None) -> DataFrame:
         """Pairs with their items' counts: node_a, node_b, n_ab, n_a, n_b. A pair can't count more often than either item, so rarer items are
