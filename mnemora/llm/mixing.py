@@ -23,8 +23,13 @@ from mnemora.runtime import broadcast_if_small, materialize
 
 #: Ranges per source and of the queue: a table of that many sums is accumulated at once.
 RANGES = 4096
-#: Default place of the public tokenizer's ranks.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+try:
+    import public_tokenizers
+
+    #: Default ranks of a public tokenizer.
+    TOKENIZER = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+except ImportError:  # then mix() needs a path
+    TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def source_key(source: str | Column) -> Column:
@@ -60,6 +65,22 @@ class Mix:
     budget: int
 
 
+def _rounds(sources: list[tuple], budget: int) -> dict[str, int]:
+    """Rounds of each source (name, weight, tokens, repeats allowed, largest document; one row per target source) that the queue can reach.
+
+    At virtual time t a source has let through no less than weight * t, short of one document, or all it has. The queue ends at the latest when
+    these sums reach the budget and a document of every source.
+    """
+    goal = budget + sum(largest for *_, largest in sources)
+    end, gone, rest = float("inf"), 0.0, sum(w for _, w, *_ in sources)
+    for _, w, tokens, repeats, _ in sorted(sources, key=lambda s: s[2] * s[3] / s[1]):
+        if gone + rest * (tokens * repeats / w) >= goal:
+            end = (goal - gone) / rest
+            break
+        gone, rest = gone + tokens * repeats, rest - w
+    return {k: max(1, min(int(repeats), int(min(end * w / tokens, 1e9)) + 1)) for k, w, tokens, repeats, _ in sources}
+
+
 def mix(
     documents: DataFrame, id_column: str, text: str, source: str, targets: DataFrame, budget: int | None = None, seed: int = 1,
     tokenizer: str = TOKENIZER,
@@ -99,7 +120,10 @@ def mix(
     ahead = sums.withColumn("ahead", F.sum("s").over(Window.partitionBy("source").orderBy("range")) - F.col("s")).drop("s")
     inside = F.sum("n_tokens").over(Window.partitionBy("source", "range").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
     once = docs.withColumn("inside", inside).join(ahead, ["source", "range"]).withColumn("upto", F.col("ahead") + F.col("inside"))
-    queue = once.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("max_repeats").cast("int")))).select(
+    # only rounds that can be drawn before the budget is spent
+    rounds = _rounds([tuple(r) for r in docs.groupBy("source", "weight", "tokens", "max_repeats").agg(F.max("n_tokens")).collect()], budget)
+    turns = F.coalesce(*(F.when(F.col("source") == k, F.lit(n)) for k, n in rounds.items()), F.lit(1)) if rounds else F.lit(1)
+    queue = once.withColumn("repeat", F.explode(F.sequence(F.lit(1), turns))).select(
         "id", "source", "repeat", "n_tokens", "h", ((F.col("upto") + (F.col("repeat") - 1) * F.col("tokens")) / F.col("weight")).alias("finish")
     )
     queue = materialize(queue, "queue")
@@ -114,7 +138,7 @@ def mix(
         order = Window.partitionBy("slot").orderBy("finish", "source", "h", "id").rowsBetween(Window.unboundedPreceding, 0)
         rim = queue.where(F.col("slot") == edge["slot"]).withColumn("upto", F.sum("n_tokens").over(order) + edge["before"]).where(F.col("upto") <= budget).drop("upto")
         taken = queue.where(F.col("slot") < edge["slot"]).unionByName(rim)
-    taken = taken.select("id", "source", "repeat", "n_tokens", "finish")
+    taken = materialize(taken.select("id", "source", "repeat", "n_tokens", "finish"), "taken")
     got = taken.groupBy("source").agg(F.sum("n_tokens").alias("drawn_tokens"), F.count(F.lit(1)).alias("drawn_docs"), F.max("repeat").alias("most_repeats"))
     total = taken.agg(F.sum("n_tokens").alias("t"))
     known = have.where("source is not null").join(want, "source", "full").join(plan.select("source", "weight"), "source", "left").join(got, "source", "left")
