@@ -4,20 +4,22 @@ An item is usable on day D when it is valid by then and was known by then, so it
 the later of the two days. The answer on D is the best item (latest `valid_from`, then latest first
 record) among those usable by D; it only ever changes on such a day.
 
-The store has one row per (key, calendar period) that is asked for or in which something changed:
-the snapshot at the period's start and the period's change log, one entry per day at most. An event
-meets its period's row by an equi-join and replays the entries up to its own day. Only day-wise
-winners leave the map side, so a key with any number of items has at most one row per day and one
-log of a month's days; events of a hot key stay spread, as the row they meet is unique.
+The store is written: for each key and month, from its first change on, the snapshot at the month's start and the month's
+change log, one entry per day at most. An event meets its month's row (behind the last change, the last) by equi-joins and
+replays the entries up to its own day. Only day-wise winners leave the map side, so a key with any number of items has at
+most one row per month and one log of a month's days.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemora.runtime import broadcast_if_small, materialize
+
 #: Spellings of a day that parse_day accepts, tried in order after the leading yyyy-MM-dd form.
 DAY_FORMATS = ("yyyy/M/d", "yyyyMMdd", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d.M.yyyy")
 _NEVER = -10_000_000
@@ -63,19 +65,29 @@ def change_log(
     return once.select("_k", F.greatest(F.coalesce("_from", F.lit(_NEVER)), day).alias("_day"), best.alias("_best")).groupBy("_k", "_day").agg(F.max("_best").alias("_best"))
 
 
-def snapshots(log: DataFrame, asked: DataFrame) -> DataFrame:
-    """One row per (key, month) that occurs in either: `_k`, `_month`, `_snapshot` (best before the month) and `_log` (its changes).
+@dataclass
+class KnownStore:
+    """Written tables. months: `_k`, `_month`, `_snapshot` (best before the month), `_log` (the month's changes by day), from a key's first
+    month with a change to the month behind its last. spans: `_k`, `_last` (that month). Any number of event tables can be joined to it."""
 
-    `asked` has `_k` and `_day` of the events. Per key there are as many rows as months, not as rows.
-    """
+    months: DataFrame
+    spans: DataFrame
+
+
+def snapshots(log: DataFrame) -> KnownStore:
+    """The store of a change log. Per key there is a row a month, whatever its number of items, and a log of at most a month's days."""
     changes = log.groupBy("_k", _month(F.col("_day")).alias("_month")).agg(F.collect_list(F.struct(F.col("_day").alias("day"), F.col("_best").alias("best"))).alias("_log"), F.max("_best").alias("_top"))
-    wanted = asked.select("_k", _month(F.col("_day")).alias("_month")).distinct()
-    rows = changes.withColumn("_asked", F.lit(False)).unionByName(
-        wanted.withColumn("_asked", F.lit(True)), allowMissingColumns=True
-    )
-    per_month = rows.groupBy("_k", "_month").agg(F.first("_log", True).alias("_log"), F.first("_top", True).alias("_top"), F.max("_asked").alias("_asked"))
-    before = Window.partitionBy("_k").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
-    return per_month.withColumn("_snapshot", F.max("_top").over(before)).where("_asked").select("_k", "_month", "_snapshot", "_log")
+    by_month = Window.partitionBy("_k").orderBy("_month")
+    upto = F.max("_top").over(by_month.rowsBetween(Window.unboundedPreceding, 0))
+    before = F.max("_top").over(by_month.rowsBetween(Window.unboundedPreceding, -1))
+    following = F.lead("_month").over(by_month)
+    placed = changes.select("_k", "_month", "_log", before.alias("_snapshot"), upto.alias("_upto"), following.alias("_next"))
+    # a month of change as it is, then one row for each month without up to the next change (the first of them, behind the last change)
+    quiet = F.sequence(F.col("_month") + 1, F.coalesce(F.col("_next") - 1, F.col("_month") + 1))
+    own = placed.select("_k", "_month", "_snapshot", "_log")
+    rest = placed.where("_next is null or _next > _month + 1").select("_k", F.explode(quiet).alias("_month"), F.col("_upto").alias("_snapshot"))
+    months = materialize(own.unionByName(rest, allowMissingColumns=True), "as-known")
+    return KnownStore(months, materialize(months.groupBy("_k").agg(F.max("_month").alias("_last")), "as-known-spans"))
 
 
 def as_known(
@@ -100,8 +112,10 @@ def as_known(
         events.select(F.struct(*(F.col(k) for k in keys)).alias("_k"), F.col(event_id).alias("_event"), F.unix_date(at.cast("date")).alias("_day"))
         .where("_day is not null and " + " and ".join(f"_k.`{k}` is not null" for k in keys))
     )
-    store = snapshots(change_log(items, keys, item_id, valid_from, recorded_at), asked)
-    met = asked.withColumn("_month", _month(F.col("_day"))).join(store, ["_k", "_month"])
+    store = snapshots(change_log(items, keys, item_id, valid_from, recorded_at))
+    # either join meets one row per event; where a key is hot, its events may be split at will (AQE does so) as the other side is not
+    met = asked.join(broadcast_if_small(store.spans), "_k").withColumn("_month", F.least(_month(F.col("_day")), "_last")).drop("_last")
+    met = met.join(broadcast_if_small(store.months), ["_k", "_month"])
     usable = F.filter("_log", lambda c: c["day"] <= F.col("_day"))
     best = F.greatest(F.col("_snapshot"), F.array_max(F.transform(usable, lambda c: c["best"])))
     return (

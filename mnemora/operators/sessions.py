@@ -7,7 +7,7 @@ threshold T is then the filter `gap_us <= T and (parent_gap_us is null or parent
 stored tree serves any number of thresholds. Equal gaps share one node, so the tree is n-ary.
 
 The events are range-partitioned by (entity, time): a chunk is a contiguous stretch, and an entity of
-any size spreads over as many chunks as it needs. In a chunk, each gap's nearest larger gap on either
+any size spreads over as many chunks as it needs (CHUNK_EVENTS each). In a chunk, each gap's nearest larger gap on either
 side bounds its node. Only gaps larger than all before them, or all behind them, in their chunk can
 reach beyond it; these few records per chunk-edge entity are merged level by level, at most
 FAN_IN chunks in one task.
@@ -28,6 +28,8 @@ from mnemora.runtime import materialize, shuffle_partitions
 
 #: Chunks merged by one task.
 FAN_IN = 64
+#: Events of a chunk, about; a task holds some 100 bytes of each.
+CHUNK_EVENTS = 2_000_000
 
 NODE_COLUMNS = ("start_us", "end_us", "n_rows", "weight", "gap_us", "parent_gap_us")
 _INF = np.iinfo(np.int64).max
@@ -46,7 +48,7 @@ def epoch_micros(t: str | Column, day: str | Column | None = None) -> Column:
 
     `day`, the epoch day, decides the unit where it is set and fits one of them; otherwise values of
     1e11 and more are milliseconds (as seconds they would lie beyond the year 5000). Null, NaN and
-    infinite times give null.
+    infinite times give null, and so do those of 1e15 and more, which lie beyond any date (3e4 years in milliseconds).
     """
     t = F.col(t) if isinstance(t, str) else t
     millis = F.abs(t) >= 1e11
@@ -273,7 +275,8 @@ def _build(events: DataFrame, entity: str, micros: str, weight: str | None, cuts
         F.col(entity).cast("string").alias("entity"), F.col(micros).cast("bigint").alias("us"),
         (F.coalesce(F.col(weight), F.lit(0)) if weight else F.lit(1)).cast("bigint").alias("w"),
     ).where("entity is not null and us is not null")
-    chunks = shuffle_partitions(spark)
+    rows = materialize(rows, "events")  # the ranges are found by sampling, which would run all before it twice
+    chunks = max(shuffle_partitions(spark), -(-rows.count() // CHUNK_EVENTS))
     ordered = rows.repartitionByRange(chunks, "entity", "us").sortWithinPartitions("entity", "us")
     level = materialize(ordered.mapInArrow(_chunk_trees(limit), _SCHEMA), "gap-tree")
     nodes = [level.where("chunk is null")]

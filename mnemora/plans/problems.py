@@ -20,9 +20,12 @@ SESSION_GAPS_S = (300, 1800, 7200, 86400)
 
 def clean_sittings(spark: SparkSession, sf: str) -> DataFrame:
     """Each sitting once (its first delivery), without replay, null workspace or null t: workspace, us, n_events."""
+    us = sessions.epoch_micros("t", "day").alias("us")
+    # a sitting without an id is known by its content, so that a second delivery is the same sitting
+    content = F.md5(F.to_json(F.struct("workspace", us, "events", "provenance")))
     rows = table(spark, sf, "sittings").select(
-        F.coalesce("sitting_id", -1 - F.monotonically_increasing_id()).alias("id"), "arrived_at", "workspace",
-        sessions.epoch_micros("t", "day").alias("us"), F.coalesce(F.size("events"), F.lit(0)).alias("n_events"), "provenance",
+        F.coalesce(F.col("sitting_id").cast("string"), content).alias("id"), "arrived_at", "workspace",
+        us, F.coalesce(F.size("events"), F.lit(0)).alias("n_events"), "provenance",
     )
     once = rows.groupBy("id").agg(F.min(F.struct("arrived_at", "workspace", "us", "n_events", "provenance")).alias("x")).select("x.*")
     return once.where("workspace is not null and us is not null and coalesce(provenance, 'genuine') <> 'replay'").select("workspace", "us", "n_events")

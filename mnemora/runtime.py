@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -31,7 +32,8 @@ def spark_session(app: str = "mnemora", master: str | None = None, **conf: str)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; a temporary one of our own only where that is unset."""
+    """The folder all executors share, as spark.checkpoint.dir names it; a temporary one of our own only where that is unset and the
+    executors are threads of this process. On a cluster without the setting nothing is written and an error raised."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -39,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named.rstrip("/")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="mnemora-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -82,14 +86,23 @@ def _clean() -> None:
             return
 
 
+#: Bytes in memory of a byte of compressed, column-wise files.
+EXPANSION = 4
+
+
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size; never less than the true size by design of its statistics for scans."""
+    """The optimizer's estimate of df's size. For files it is their compressed size, and rows that a generator adds are not in it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast when the estimated size is within the limit; otherwise leave the choice to the planner."""
-    return F.broadcast(df) if plan_bytes(df) <= limit else df
+    """Hint a broadcast when df surely is within the limit in memory; otherwise leave the choice to the planner.
+
+    The estimate counts EXPANSION-fold, and a plan with a generator has no estimate to trust: write such a table first.
+    """
+    if "Generate " in df._jdf.queryExecution().optimizedPlan().toString():
+        return df
+    return F.broadcast(df) if plan_bytes(df) * EXPANSION <= limit else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
