@@ -129,7 +129,7 @@ class MemoryStore:
         listed = members.join(F.broadcast(best.select("chain", "rank")), "chain")
         once = listed.groupBy("node").agg(F.min(F.struct("rank", "pos", "chain")).alias("x")).select("node", "x.*")
         sized = once.join(self.nodes.select(F.col("id").alias("node"), text.token_estimate(F.concat_ws("\n\n", "description", "body")).alias("tokens")), "node")
-        return packing.first_fit(sized.withColumn("_g", F.lit(1)), ["_g"], ["rank", "pos", "node"], "tokens", budget, 1_000_000).select("chain", "node", "tokens", "taken")
+        return packing.first_fit(sized.withColumn("_g", F.lit(1)), ["_g"], ["rank", "pos", "node"], "tokens", budget).select("chain", "node", "tokens", "taken")
 
     @operation("chain_at")
     def chain_at(self, chain: str, at: str) -> DataFrame:

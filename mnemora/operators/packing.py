@@ -23,38 +23,37 @@ def prefix_budget(df: DataFrame, keys: Sequence[str], order: Sequence, size: str
     return df.withColumn("total", F.sum(size).over(w)).where(F.col("total") <= budget)
 
 
-def first_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, budget: int, limit: int = 10_000) -> DataFrame:
-    """Rows per key with `taken`: walked in order, a row is taken if it still fits, else skipped and the walk goes on.
-
-    The walk is an ordered fold, so a key's candidates meet in one row; `limit` is the most candidates of a key that the
-    caller's ranking leaves (a larger set raises an error rather than being cut).
-    """
-    rest = [c for c in df.columns if c not in keys]
-    entry = F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.col(size).cast("bigint").alias("_s"), F.struct(*rest).alias("_r"))
-    per_key = df.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_all"), F.count(F.lit(1)).alias("_n"))
-    checked = F.when(F.col("_n") > limit, F.raise_error(F.lit("first_fit: more candidates of one key than the stated limit"))).otherwise(F.col("_all"))
-    none = F.expr("cast(array() as array<boolean>)")
-    walk = F.aggregate(
-        checked,
-        F.struct(F.lit(0).cast("bigint").alias("spent"), none.alias("flags")),
-        lambda s, x: F.when(s["spent"] + x["_s"] <= budget, F.struct((s["spent"] + x["_s"]).alias("spent"), F.array_append(s["flags"], F.lit(True)).alias("flags"))).otherwise(
-            F.struct(s["spent"].alias("spent"), F.array_append(s["flags"], F.lit(False)).alias("flags"))
-        ),
-    )
-    flat = per_key.withColumn("_w", walk).select(*keys, F.explode(F.arrays_zip("_all", F.col("_w.flags").alias("_f"))).alias("_x"))
-    return flat.select(*keys, F.col("_x._all._r").alias("_r"), F.col("_x._f").alias("taken")).select(*keys, "_r.*", "taken")
-
-
 def first_fit_taken(df: DataFrame, keys: Sequence[str], order: Sequence, size: str, budget: int) -> DataFrame:
-    """The rows that first_fit takes, out of any number of candidates; sizes are whole and not negative.
+    """The rows that a walk per key takes, out of any number of candidates: in order, a row is taken if it still fits, else skipped.
+    Sizes are whole and not negative; the order must be total.
 
     What is left of the budget only shrinks, so of the rows of one size those taken are the first in order, budget / size of
     them at most. Only these are walked; no other row can be taken. They number budget * (1 + 1/2 + 1/3 + ...) at most, and
-    row_number() up to a constant drops most others before the shuffle. Rows of size 0 always fit. The order must be total.
+    row_number() up to a constant drops most others before the shuffle. The walk remembers what it took, budget rows at most.
+    Rows of size 0 always fit.
     """
     small = df.where(F.col(size) <= budget)
     alike = F.row_number().over(Window.partitionBy(*keys, size).orderBy(*order))
     near = small.where(F.col(size) > 0).withColumn("_k", alike).where((F.col("_k") <= budget) & (F.col("_k") * F.col(size) <= budget))
     ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    walked = first_fit(ranked, keys, ["_k"], size, budget, sum(budget // s for s in range(1, budget + 1)))
-    return walked.where("taken").select(*df.columns).unionByName(small.where(F.col(size) == 0))
+    entry = F.struct(F.col("_k").alias("k"), F.col(size).cast("bigint").alias("s"), F.struct(*df.columns).alias("r"))
+    per_key = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    start = F.struct(F.lit(0).cast("bigint").alias("spent"), F.expr("cast(array() as array<int>)").alias("took"))
+
+    def step(s, x):
+        fits = s["spent"] + x["s"] <= budget
+        return F.when(fits, F.struct((s["spent"] + x["s"]).alias("spent"), F.array_append(s["took"], x["k"]).alias("took"))).otherwise(s)
+
+    walked = per_key.select("_all", F.aggregate("_all", start, step).alias("_w")).select(F.explode(F.transform("_w.took", lambda k: F.get("_all", k - 1))).alias("_x"))
+    return walked.select("_x.r.*").unionByName(small.where(F.col(size) == 0))
+
+
+def first_fit(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str, budget: int) -> DataFrame:
+    """All rows with `taken`, see first_fit_taken; the columns of keys and order together are one row's."""
+    named = [*dict.fromkeys([*keys, *order])]
+    took = first_fit_taken(df.select(*dict.fromkeys([*named, size])), keys, order, size, budget).select(*named, F.lit(True).alias("taken"))
+    took = took.select(*(F.col(c).alias(f"_t_{c}") for c in named), "taken")
+    same = F.lit(True)
+    for c in named:
+        same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
+    return df.join(took, same, "left").select(*df.columns, F.coalesce("taken", F.lit(False)).alias("taken"))

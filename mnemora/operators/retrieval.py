@@ -1,7 +1,7 @@
 """Vector retrieval: top-k, blocked searches of many queries, grouping by chain, blending, reserves and packing.
 
 One query is a constant vector: every row is scored inside generated code and a distributed top-k keeps the best.
-Many queries go to the rows in blocks: each task multiplies its rows with a block of query vectors and passes on its
+Many queries are read by the tasks in blocks: each task multiplies its rows with a block of query vectors and passes on its
 own best k per query, so what is shuffled is queries x tasks x k rows, whatever the number of rows.
 """
 
@@ -11,13 +11,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from mnemora.functions import vectors as V
+from mnemora.runtime import broadcast_if_small, new_dir, shared_files
 
-#: Query vectors that one pass over the rows takes along.
-QUERY_BLOCK = 20_000
+#: Queries and rows whose scores are worked out at once: 64 MB.
+QUERY_BLOCK, ROW_BLOCK = 1_024, 8_192
+#: Candidate hits a task holds before it cuts them to the best.
+HELD = 1_000_000
 
 
 def top_k(rows: DataFrame, query: Sequence[float], k: int, embedding: str = "embedding", key: str = "id", boost: Column | None = None, where: Column | None = None) -> DataFrame:
@@ -33,57 +39,92 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int, embedding: str = "emb
     return scored.orderBy(F.col("score").desc(), F.col(key)).limit(k)
 
 
-def _blocks(queries: DataFrame, key: str, embedding: str) -> Iterator[tuple[list, np.ndarray]]:
-    n = max(1, -(-queries.count() // QUERY_BLOCK))
-    for b in range(n):
-        part = queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).select(key, embedding).collect()
-        if part:
-            yield [r[0] for r in part], np.array([r[1] for r in part], np.float64)
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length 1; zero vectors stay."""
+    flat = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    n = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+
+
+def _scan(path: str, k: int | None, bar: float | None, schema: pa.Schema):
+    """Rows of a partition, ROW_BLOCK at a time, against all query blocks of a shared folder."""
+
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        from pyarrow import parquet as pq
+
+        system, files = shared_files(path)
+        for f in files:
+            t = pq.read_table(f, filesystem=system, columns=["q", "v"])
+            if t.num_rows:
+                yield t["q"].to_numpy(), _matrix(t["v"])
+
+    def met(item: np.ndarray, x: np.ndarray) -> Iterator[pd.DataFrame]:
+        order = np.argsort(item, kind="stable")
+        sorted_item = item[order]
+        for ids, q in blocks():
+            s = q @ x.T
+            lo, hi = np.searchsorted(sorted_item, ids, "left"), np.searchsorted(sorted_item, ids, "right")
+            for i in np.flatnonzero(hi > lo).tolist():
+                s[i, order[lo[i] : hi[i]]] = -np.inf  # a row is not its own neighbour
+            ok = s >= bar if bar is not None else s > -np.inf
+            if k is not None and s.shape[1] > k:
+                ok &= s >= np.partition(s, -k, axis=1)[:, -k, None]  # ties stay until ranks are given
+            i, j = np.nonzero(ok)
+            yield pd.DataFrame({"query": ids[i], "item": item[j], "score": s[i, j]})
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        top: list[pd.DataFrame] = []
+
+        def flush() -> Iterator[pd.DataFrame]:
+            rows = pa.Table.from_batches(held)
+            held.clear()
+            for at in range(0, rows.num_rows, ROW_BLOCK):
+                part = rows.slice(at, ROW_BLOCK)
+                for found in met(part.column(0).to_numpy(), _matrix(part.column(1))):
+                    if k is None:
+                        yield found
+                        continue
+                    top.append(found)
+                    if sum(map(len, top)) > HELD:
+                        best = _cut(pd.concat(top), k)
+                        top[:] = [best]
+                        if len(best) > HELD // 2:  # the lists of very many queries go out in parts
+                            top.clear()
+                            yield best
+
+        for b in parts:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= ROW_BLOCK:
+                yield from (pa.RecordBatch.from_pandas(d, schema=schema, preserve_index=False) for d in flush())
+        if held:
+            yield from (pa.RecordBatch.from_pandas(d, schema=schema, preserve_index=False) for d in flush())
+        if top:
+            yield pa.RecordBatch.from_pandas(_cut(pd.concat(top), k), schema=schema, preserve_index=False)
+
+    return run
 
 
 def search(queries: DataFrame, rows: DataFrame, k: int | None, bar: float | None = None, key: str = "id", embedding: str = "embedding") -> DataFrame:
     """For each query row its k best rows, and/or those with cosine >= bar: `query`, the key as `item`, `score`, and with k also `rank`.
 
-    The queries are a stated set (as one in twenty rows), taken in blocks of bounded size; the rows are of any number. A row
-    is not its own neighbour. Vectors must be of one length; rows of null vectors are left out.
+    The queries are a stated set (as one in twenty rows). They are written to the shared folder in files of QUERY_BLOCK and read
+    there by the tasks, none through the driver; the rows are scanned once, whatever the number of queries, and a task never holds
+    more than a block of scores. A row is not its own neighbour. Rows with null vectors, or of another length than the
+    queries', are left out.
     """
-    spark, kind = rows.sparkSession, dict(rows.dtypes)[key]
-    qkind = dict(queries.dtypes)[key]
-    schema = f"query {qkind}, item {kind}, score double"
-    found = None
-    for names, q in _blocks(queries.where(F.col(embedding).isNotNull()), key, embedding):
-        length = np.linalg.norm(q, axis=1, keepdims=True)
-        q = np.divide(q, length, out=np.zeros_like(q), where=length > 0)
-        ids = np.array(names, object)
-
-        def best(parts: Iterator[pd.DataFrame], q=q, ids=ids) -> Iterator[pd.DataFrame]:
-            top: list[pd.DataFrame] = []
-            for p in parts:
-                if not len(p):
-                    continue
-                x = np.stack(p[embedding].to_numpy()).astype(np.float64)
-                n = np.linalg.norm(x, axis=1, keepdims=True)
-                s = q @ np.divide(x, n, out=np.zeros_like(x), where=n > 0).T
-                item = p[key].to_numpy()
-                s[ids[:, None] == item[None, :]] = -np.inf
-                ok = s >= bar if bar is not None else s > -np.inf
-                if k is not None and s.shape[1] > k:
-                    ok &= s >= np.partition(s, -k, axis=1)[:, -k, None]  # ties stay until ranks are given
-                i, j = np.nonzero(ok)
-                out = pd.DataFrame({"query": ids[i], "item": item[j], "score": s[i, j]})
-                if k is None:
-                    yield out
-                else:
-                    top.append(out)
-                    if len(top) > 16:
-                        top = [_cut(pd.concat(top), k)]
-            if top:
-                yield _cut(pd.concat(top), k)
-
-        part = rows.where(F.col(embedding).isNotNull()).select(key, embedding).mapInPandas(best, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    spark, kind, qkind = rows.sparkSession, dict(rows.dtypes)[key], dict(queries.dtypes)[key]
+    asked = queries.where(F.size(embedding) > 0).select(F.col(key).alias("q"), F.col(embedding).cast("array<double>").alias("v"))
+    one = asked.select(F.size("v")).first()
+    if one is None:
+        found = spark.createDataFrame([], f"query {qkind}, item {kind}, score double")
+    else:
+        path = new_dir(spark, "queries")
+        asked.where(F.size("v") == one[0]).write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(path)
+        schema = pa.schema([("query", to_arrow_type(queries.schema[key].dataType)), ("item", to_arrow_type(rows.schema[key].dataType)), ("score", pa.float64())])
+        usable = rows.where(F.size(embedding) == one[0]).select(key, F.col(embedding).cast("array<double>"))
+        found = usable.mapInArrow(_scan(path, k, bar, schema), f"query {qkind}, item {kind}, score double")
     if k is None:
         return found
     w = Window.partitionBy("query").orderBy(F.col("score").desc(), "item")
@@ -107,9 +148,10 @@ def by_chain(hits: DataFrame, chain: str = "chain", key: str = "id", edge_counts
 
 def blend_scores(candidates: DataFrame, vector: str, chain_score: str, top10: str) -> DataFrame:
     """Candidates with `hybrid`: 0.55 vector + 0.20 chain score by its greatest + 0.15 for the ten best hits."""
-    most = F.max(F.coalesce(F.col(chain_score), F.lit(0.0))).over(Window.partitionBy())
-    norm = F.when(most > 0, F.coalesce(F.col(chain_score), F.lit(0.0)) / most).otherwise(F.lit(0.0))
-    return candidates.withColumn("hybrid", 0.55 * F.coalesce(F.col(vector), F.lit(0.0)) + 0.20 * norm + 0.15 * F.col(top10).cast("int"))
+    most = candidates.agg(F.max(F.coalesce(F.col(chain_score), F.lit(0.0))).alias("_most"))  # one row
+    norm = F.when(F.col("_most") > 0, F.coalesce(F.col(chain_score), F.lit(0.0)) / F.col("_most")).otherwise(F.lit(0.0))
+    scored = candidates.crossJoin(F.broadcast(most)).withColumn("hybrid", 0.55 * F.coalesce(F.col(vector), F.lit(0.0)) + 0.20 * norm + 0.15 * F.col(top10).cast("int"))
+    return scored.drop("_most")
 
 
 def with_reserve(main: DataFrame, reserve: DataFrame, k: int, reserved: int, key: str = "id", score: str = "score") -> DataFrame:
@@ -132,7 +174,7 @@ def neighbours_of(hits: DataFrame, pairs: DataFrame, key: str = "id", parents: i
     """
     top = hits.orderBy(F.col("score").desc(), key).limit(parents).select(F.col(key).alias("parent"), "score")
     both = pairs.select(F.col("a").alias("parent"), F.col("b").alias("id"), "w").unionByName(pairs.select(F.col("b").alias("parent"), F.col("a").alias("id"), "w"))
-    near = both.join(F.broadcast(top), "parent").join(F.broadcast(hits.select(F.col(key).alias("id"))), "id", "left_anti")
+    near = both.join(F.broadcast(top), "parent").join(broadcast_if_small(hits.select(F.col(key).alias("id"))), "id", "left_anti")
     scored = near.groupBy("id").agg(F.max(F.least(fade * F.col("score"), weight * F.col("w"))).alias("score"))
     return scored.orderBy(F.col("score").desc(), "id").limit(most)
 
@@ -167,15 +209,20 @@ def envelope(pool: DataFrame, base: str, gains: dict[str, float], match: str | N
 
     A signal of weight 0 is not computed.
     """
-    from mnemora.functions.scores import min_max
+    used = {name: g for name, g in gains.items() if abs(g) >= 1e-9}
+    matched = match if match and abs(match_gain) >= 1e-9 else None
+    ends = [f(c).alias(f"_{side}_{c}") for c in dict.fromkeys([*used, *([matched] if matched else [])]) for side, f in (("low", F.min), ("high", F.max))]
+    wide = pool.crossJoin(F.broadcast(pool.agg(*ends))) if ends else pool  # one row of extremes
+
+    def scaled(c: str) -> Column:
+        low, high = F.col(f"_low_{c}"), F.col(f"_high_{c}")
+        return F.when(high > low, (F.col(c) - low) / (high - low)).otherwise(F.lit(0.0))
 
-    w = Window.partitionBy()
     factor = F.lit(1.0)
-    for name, g in gains.items():
-        if abs(g) >= 1e-9:
-            factor = factor + g * min_max(name, w)
-    start = F.col(base) + (match_gain * min_max(match, w) if match and abs(match_gain) >= 1e-9 else F.lit(0.0))
-    return pool.withColumn("enveloped", start * factor)
+    for name, g in used.items():
+        factor = factor + g * scaled(name)
+    start = F.col(base) + (match_gain * scaled(matched) if matched else F.lit(0.0))
+    return wide.withColumn("enveloped", start * factor).select(*pool.columns, "enveloped")
 
 
 #: Time constants of the context bank, log-spaced from a quarter of an hour to two months (fixed values).

@@ -69,6 +69,14 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_files(path: str) -> tuple[object, list[str]]:
+    """File system and names of the parquet files of a folder, for tasks that read a shared table themselves."""
+    from pyarrow import fs
+
+    system, inside = fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+    return system, sorted(f.path for f in system.get_file_info(fs.FileSelector(inside)) if f.path.endswith(".parquet"))
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that holds it."""
     jvm = spark.sparkContext._jvm

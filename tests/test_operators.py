@@ -65,8 +65,14 @@ def test_first_fit_and_prefix(spark):
     assert taken == {(1, 0), (1, 2), (1, 3), (1, 4)}
     assert [r.o for r in packing.prefix_budget(df.where("g = 1"), [], ["o"], "s", 14).orderBy("o").collect()] == [0, 1]
     assert [(r.g, r.o) for r in packing.prefix_budget(df, ["g"], ["o"], "s", 14).orderBy("g", "o").collect()] == [(1, 0), (1, 1)]
-    with pytest.raises(Exception, match="more candidates"):
-        packing.first_fit(df, ["g"], ["o"], "s", 12, limit=3).collect()
+    many = spark.createDataFrame([(1, i, 5 + i % 7) for i in range(20_000)], "g int, o int, s int")
+    spent, want = 0, set()
+    for i in range(20_000):
+        if spent + 5 + i % 7 <= 120:
+            spent += 5 + i % 7
+            want.add(i)
+    walked = packing.first_fit(many, ["g"], ["o"], "s", 120)
+    assert walked.count() == 20_000 and {r.o for r in walked.where("taken").collect()} == want
 
 
 def test_state(spark):
@@ -197,3 +203,16 @@ def test_scorers(spark):
     spread = spark.createDataFrame([("x", 1.0), ("y", math.e)], "k string, s double")
     assert [r[1] for r in rows(retrieval.distinctiveness(spread, "k", "s"))] == pytest.approx([1 / (1 + math.exp(-1))] * 2)
     assert S.EMA == pytest.approx(0.474641, abs=1e-6)
+
+
+def test_search_many_queries(spark):
+    """More queries than a block by far, against all rows; two of them checked one by one."""
+    r = np.random.default_rng(5)
+    q, x = r.normal(size=(50_000, 8)), r.normal(size=(2_500, 8))
+    frame = lambda m, first: spark.createDataFrame([(first + i, v.tolist()) for i, v in enumerate(m)], "id bigint, embedding array<double>")
+    found = retrieval.search(frame(q, 0), frame(x, 10**6), 3)
+    assert found.count() == 3 * len(q)
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    for i in (7, 49_999):
+        want = (10**6 + np.argsort(-(unit(x) @ unit(q)[i]))[:3]).tolist()
+        assert [w.item for w in found.where(f"query = {i}").orderBy("rank").collect()] == want
