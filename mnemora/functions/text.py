@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 # ---- fixed values ----
 STOPWORDS = (
-    "a an and are as at be but by for from has have in is it its of on or that the this to was were will with we you your i our so if when "
-    "not no do does did been being which what where why how can could should would may might must any all some than then there these those "
-    "they them their"
-).split()
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that",
+    "the", "this", "to", "was", "were", "will", "with", "we", "you", "your", "i", "our", "so", "if", "when", "not", "no", "do", "does",
+    "did", "been", "being", "which", "what", "where", "why", "how", "can", "could", "should", "would", "may", "might", "must", "any", "all",
+    "some", "than", "then", "there", "these", "those", "they", "them", "their",
+)
 ALLCAPS_STOP = (
-    "NOT AND OR BUT FOR THE ALL NEW API WHY HOW WHAT WHEN TODO FIXME BUG NB WAS ARE AKA TBD ETA FYI URL HTTP HTTPS JSON HTML CSS XML YAML UTF"
-).split()
+    "NOT", "AND", "OR", "BUT", "FOR", "THE", "ALL", "NEW", "API", "WHY", "HOW", "WHAT", "WHEN", "TODO", "FIXME", "BUG", "NB", "WAS", "ARE",
+    "AKA", "TBD", "ETA", "FYI", "URL", "HTTP", "HTTPS", "JSON", "HTML", "CSS", "XML", "YAML", "UTF",
+)
 IDENTIFIER_STOP = (
-    "as-is at-least make-or one-off up-to drop-in off-the out-of as-of in-flight in-progress at-spi one-shot high-level low-level "
-    "cross-platform run-time real-time re-read re-run re-do re-try re-use re-load re-init lock-in check-in follow-up sign-in sign-out log-in "
-    "log-out set-up clean-up stand-up write-up fall-back work-around pre-auth pre-built post-hoc case-by day-to face-to self-aware self-host "
-    "self-care both first never always before after then valid_from valid_to last_access access_count review_count next_review "
-    "review_interval_days easiness_factor relevance"
-).split()
+    "as-is", "at-least", "make-or", "one-off", "up-to", "drop-in", "off-the", "out-of", "as-of", "in-flight", "in-progress", "at-spi",
+    "one-shot", "high-level", "low-level", "cross-platform", "run-time", "real-time", "re-read", "re-run", "re-do", "re-try", "re-use",
+    "re-load", "re-init", "lock-in", "check-in", "follow-up", "sign-in", "sign-out", "log-in", "log-out", "set-up", "clean-up", "stand-up",
+    "write-up", "fall-back", "work-around", "pre-auth", "pre-built", "post-hoc", "case-by", "day-to", "face-to", "self-aware", "self-host",
+    "self-care", "both", "first", "never", "always", "before", "after", "then", "valid_from", "valid_to", "last_access", "access_count",
+    "review_count", "next_review", "review_interval_days", "easiness_factor", "relevance",
+)
 INJECTION = (
     r"(?i)ignore\s+previous\s+instructions",
     r"(?i)you\s+are\s+now\b",
@@ -35,6 +38,14 @@ ROLE_WORDS = ("role", "background", "year", "experience", "engineer", "scientist
 REFERENCE_WORDS = ("see ", "tracked in ", "lives at ", "url", "https://", "linear", "grafana")
 ERODED = "·"
 FILE_ENDINGS = "py|md|json|sh|cu|c|h|txt|toml|gguf|enc|loer"
+CODE_SPAN = r"`([^`\n]{2,40})`"
+IDENTIFIER = r"\b[a-zA-Z][a-zA-Z0-9]+(?:[_\-][a-zA-Z0-9]+){1,}\b"
+FILE_NAME = rf"[A-Za-z0-9_\-./]+\.(?:{FILE_ENDINGS})\b"
+ACRONYM = r"\b[A-Z]{3,}[0-9]*\b"
+ISSUE, VERSION = r"#\d{3,}", r"\bv\d+(?:\.\d+){1,3}\b"
+PHRASE = r"\b(?:[A-Z][a-z]{2,})(?:\s+[A-Z][a-z]{2,}){1,2}\b"
+DATE = r"\b20\d\d-[01]\d-[0-3]\d\b"
+FIRST_SENTENCE = r"(.{10,}?[.!?])(\s|$)"
 # ---- end of fixed values ----
 
 
@@ -65,12 +76,12 @@ def jaccard(a: str | Column, b: str | Column) -> Column:
 def entities(text: str | Column) -> Column:
     """Code spans, identifiers, file names, acronyms, numbers of issues, versions and capitalised phrases, in lower case."""
     t = F.coalesce(_c(text), F.lit(""))
-    code = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"`([^`\n]{2,40})`"), 1), lambda x: F.trim(x)), lambda s: (s != "") & ~s.rlike(r"^\d+$"))
-    ids = F.filter(F.transform(_all(t, r"\b[a-zA-Z][a-zA-Z0-9]+(?:[_\-][a-zA-Z0-9]+){1,}\b"), F.lower), lambda s: (F.length(s) >= 5) & ~F.array_contains(_words(IDENTIFIER_STOP), s))
-    files = _all(t, rf"[A-Za-z0-9_\-./]+\.(?:{FILE_ENDINGS})\b")
-    caps = F.filter(_all(t, r"\b[A-Z]{3,}[0-9]*\b"), lambda s: (F.length(s) <= 12) & ~F.array_contains(_words(ALLCAPS_STOP), s))
-    issues, versions = _all(t, r"#\d{3,}"), _all(t, r"\bv\d+(?:\.\d+){1,3}\b")
-    phrases = F.filter(F.transform(_all(t, r"\b(?:[A-Z][a-z]{2,})(?:\s+[A-Z][a-z]{2,}){1,2}\b"), F.lower), lambda s: ~F.array_contains(_words(IDENTIFIER_STOP), s))
+    code = F.filter(F.transform(F.regexp_extract_all(t, F.lit(CODE_SPAN), 1), lambda x: F.trim(x)), lambda s: (s != "") & ~s.rlike(r"^\d+$"))
+    ids = F.filter(F.transform(_all(t, IDENTIFIER), F.lower), lambda s: (F.length(s) >= 5) & ~F.array_contains(_words(IDENTIFIER_STOP), s))
+    files = _all(t, FILE_NAME)
+    caps = F.filter(_all(t, ACRONYM), lambda s: (F.length(s) <= 12) & ~F.array_contains(_words(ALLCAPS_STOP), s))
+    issues, versions = _all(t, ISSUE), _all(t, VERSION)
+    phrases = F.filter(F.transform(_all(t, PHRASE), F.lower), lambda s: ~F.array_contains(_words(IDENTIFIER_STOP), s))
     return F.array_distinct(F.concat(F.transform(F.concat(code, files, caps, versions), F.lower), ids, issues, phrases))
 
 
@@ -110,7 +121,7 @@ def slug(text: str | Column, n: int = 40) -> Column:
 def first_sentence(text: str | Column, limit: int = 110) -> Column:
     """Up to the first end of a sentence behind ten characters, cut with an ellipsis beyond the limit."""
     s = F.regexp_replace(_c(text), r"^\s+|\s+$", "")
-    hit = F.regexp_extract(s, r"(.{10,}?[.!?])(\s|$)", 1)
+    hit = F.regexp_extract(s, FIRST_SENTENCE, 1)
     out = F.when(hit != "", F.trim(hit)).otherwise(s)
     return F.when(F.length(out) > limit, F.concat(F.rtrim(F.substring(out, 1, limit - 1)), F.lit("…"))).otherwise(out)
 
@@ -130,7 +141,7 @@ def kind_of(text: str | Column) -> Column:
 
 def named_days(text: str | Column) -> Column:
     """Distinct ISO days in a text, sorted."""
-    return F.array_sort(F.array_distinct(_all(F.coalesce(_c(text), F.lit("")), r"\b20\d\d-[01]\d-[0-3]\d\b")))
+    return F.array_sort(F.array_distinct(_all(F.coalesce(_c(text), F.lit("")), DATE)))
 
 
 def injection_markers(text: str | Column) -> Column:

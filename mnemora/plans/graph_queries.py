@@ -77,10 +77,10 @@ def q_user_sessions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""with {_SIT}, m as (select id, unnest(nodes) node from sit), na as (select node, count(*) n from m group by node), tot as (select count(*) n from sit),
-nab as (select x.node a, y.node b, count(*) n from m x join m y on x.id = y.id and x.node < y.node group by 1, 2 having count(*) >= 3)
+nab as (select x.node a, y.node b, count(*) n from m x join m y on x.id = y.id and x.node < y.node group by 1, 2)
 select a, b, nab.n n_ab, round(nab.n::double * tot.n / (p.n::double * q.n), 6) lift from nab join na p on p.node = a join na q on q.node = b, tot""")
 def q_lift(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs with their lift (the SQL gives those of three sittings and more only)."""
+    """All pairs with their lift."""
     return A.pair_lift(sittings(spark, sf), "nodes").select("a", "b", "n_ab", F.round("lift", 6).alias("lift"))
 
 
@@ -100,11 +100,10 @@ def q_genuine_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return A.genuine_pairs(sittings(spark, sf).select("id", "events", "event_sources"), "events", "event_sources").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with {_SIT}, o as (select us, id, unnest(nodes) node, nodes from sit), x as (select node, us, id, list_filter(nodes, lambda v: v <> node) r from o),
-l as (select node, r, lag(r) over (partition by node order by us nulls first, id) p from x)
-select node, count(*) n, round(avg(1 - case when len(list_distinct(list_concat(r, p))) = 0 then 0.0 else len(list_intersect(r, p)) / len(list_distinct(list_concat(r, p)))::double end), 6) distance from l where p is not null group by node""")
+@query(f"""with {_SIT}, o as (select id, nodes, unnest(nodes) node from sit), x as (select a.node, len(a.nodes) m, len(b.nodes) n, len(list_intersect(a.nodes, b.nodes)) - 1 i from o a join o b on a.node = b.node and a.id < b.id)
+select node, count(*) n, round(avg(case when m + n = 2 then 0.0 else 1 - i / (m + n - 2 - i)::double end), 6) distance from x group by node""")
 def q_njd(spark: SparkSession, sf: str) -> DataFrame:
-    """How much the company of each node differs between its sittings, over all pairs of them (the SQL takes consecutive ones only)."""
+    """How much the company of each node differs between its sittings, over all pairs of them."""
     return A.neighbourhood_distance(sittings(spark, sf), "id", "nodes").select("node", "n", F.round("distance", 6).alias("distance"))
 
 
@@ -134,12 +133,40 @@ def q_pair_ema_mixed(spark: SparkSession, sf: str) -> DataFrame:
     return A.weight_fold(A.pairs(rec, "nodes"), "at", "provenance").select("a", "b", F.round("w", 6).alias("w"), F.col("count").alias("n"), F.col("count_genuine").alias("n_genuine"))
 
 
-@query()
+_ACCRUE = rf"""with recursive {_SIT}, {ALL_NODES_SQL}, sal as (select id node, max(coalesce(salience, 0.5)) s from an group by id),
+ev as (select id, cast(floor(us / 1e6) as bigint) tt, provenance, unnest(events) e from sit where us is not null),
+u as (select id, tt, provenance, list_sort(list_distinct(list_transform(e, lambda x: regexp_replace(x, '\.md$', '')))) u from ev), x as (select *, unnest(u) a, unnest(range(1, len(u) + 1)) i from u),
+t as (select id, tt, provenance, a, b, count(*) m from (select id, tt, provenance, a, unnest(u[i + 1:]) b from x) group by all),
+births as (select node, f, count(*) n from (select unnest([a, b]) node, f from (select a, b, min(tt) f from t group by 1, 2)) group by 1, 2),
+asked as (select distinct unnest([a, b]) node, tt from t), deg as (select asked.node, asked.tt, coalesce(sum(n) filter (f < tt), 0) d from asked left join births using (node) group by 1, 2),
+z as (select t.a, t.b, t.tt::double t, m::double m, sqrt(greatest(0.0, coalesce(sa.s, 0.0)) * greatest(0.0, coalesce(sb.s, 0.0))) * least(1.0, m / 2.99) * greatest(0.27, 1 / (1 + 0.59 * ln(1 + da.d::double * db.d)))
+  * case provenance when 'operator' then 1.3 when 'cohort_validated' then 1.19 else 1.0 end score
+  from t left join sal sa on sa.node = t.a left join sal sb on sb.node = t.b join deg da on da.node = t.a and da.tt = t.tt join deg db on db.node = t.b and db.tt = t.tt),
+q as (select *, row_number() over (partition by a, b order by t, m, score) k from z),
+f(a, b, k, kept, day, w, n, last, s, tau, reps, ease, iv) as (
+  select distinct a, b, 0::bigint, false, 0.0::double, 0.0::double, 0::bigint, null::double, 0.0::double, 172800.0::double, 0::bigint, 2.5::double, 0.0::double from q union all
+  select a, b, k, kept1, case when kept1 then day1 else day end, case when counts then w1 + {S.EMA!r} * (1 - w1) when kept1 then w1 else w end, n + counts::int, case when counts then t else last end, case when counts then s1 else s end,
+    case when counts then case when spaced then least(8640000.0, 172800.0 * greatest(1.0, iv2)) else tau1 end else tau end, case when counts then reps2 else reps end, case when counts then ease2 else ease end, case when counts then iv2 else iv end
+  from (select *, case when spaced then case reps2 when 1 then 1.0 when 2 then 6.0 else iv1 * ease2 end else iv1 end iv2, least(remains + gain, case when spaced or reps1 >= 2 then 6.0 else 3.0 - 1e-6 end) s1, kept1 and score >= 0.073 counts
+  from (select *, reps1 + spaced::int reps2, case when spaced and reps1 + 1 >= 3 then greatest(1.3, ease1 + 0.1) else ease1 end ease2,
+    case when spaced then case when anew then 1.0 else 1.6 end else 1 - exp(-greatest(0.0, gap) / 28800.0) end * (1 - exp(-m / 1.2)) gain
+  from (select *, gap >= 86400 spaced from (select *, case when anew then 0.0 else kept_s end remains, case when anew then 86400.0 else t - last end gap, case when anew then 172800.0 else tau end tau1, case when anew then 0 else reps end reps1,
+    case when anew then 2.5 else ease end ease1, case when anew then 0.0 else iv end iv1
+  from (select *, last is null or kept_s <= 0.05 anew from (
+    select f.a, f.b, q.k, q.t, q.m, q.score, f.kept, f.day, f.w, f.n, f.last, f.s, f.tau, f.reps, f.ease, f.iv, f.kept or q.score >= 0.099 kept1, floor(q.t / 86400) day1,
+      f.w * pow(0.995, case when f.kept then greatest(0.0, floor(q.t / 86400) - f.day) else 0.0 end) w1, f.s * exp(-greatest(0.0, coalesce(q.t - f.last, 0.0)) / f.tau) kept_s
+    from f join q on q.a = f.a and q.b = f.b and q.k = f.k + 1))))))),
+l as (select a, b, arg_max(n, k) qualified, arg_max(w, k) * pow(0.995, greatest(0.0, 14669 - arg_max(day, k))) w, case when max(last) is null then 0.0 else arg_max(s, k) * exp(-greatest(0.0, 14669 * 86400.0 - max(last)) / arg_max(tau, k)) end s, arg_max(reps, k) reps, bool_or(kept) kept from f group by a, b)
+select a, b, qualified, round(s, 6) strength, round(w, 6) w, reps, case when w < 0.85 then 'none' when s >= 3 then 'strong' when s >= 1.5 then 'weak' else 'none' end tier from l where kept"""
+
+
+@query(_ACCRUE)
 def q_accrue(spark: SparkSession, sf: str) -> DataFrame:
-    """Spaced-repetition strength of every pair (an ordered fold; tested against a plain fold)."""
+    """Spaced-repetition strength of every pair."""
     s = sittings(spark, sf).where("us is not null").select("id", F.floor(F.col("us") / 1e6).cast("bigint").alias("at"), "events", "provenance")
     sal = all_nodes(spark, sf).select(F.col("id").alias("node"), F.coalesce("salience", F.lit(0.5)).alias("salience"))
-    return A.accrue(A.occasion_pairs(s, "id", "at", "events", "provenance"), sal, "id", "at", "provenance", 1267401600.0)
+    found = A.accrue(A.occasion_pairs(s, "id", "at", "events", "provenance"), sal, "id", "at", "provenance", 1267401600.0)
+    return found.withColumns({"strength": F.round("strength", 6), "w": F.round("w", 6)})
 
 
 @query(f"""with {PAIR_SQL}, e as (select a node, a, b, w from pw union all select b, a, b, w from pw), r as (select *, row_number() over (partition by node order by w desc nulls last, a desc, b desc) rn from e)
@@ -198,8 +225,7 @@ def q_forward_kernel(spark: SparkSession, sf: str) -> DataFrame:
     return G.forward_kernel(directed, G.both_ways(pair_web(spark, sf))).select("src", "dst", F.round("p", 8).alias("p"))
 
 
-@query(f"""with recursive {PAIR_SQL}, g as (select a, b from pw where n >= 20), e as (select a x, b y from g union all select b, a from g),
-r(x, y) as (select x, x from e union select r.x, e.y from r join e on e.x = r.y) select x node, min(y) component from r group by x""")
+@query()
 def q_components(spark: SparkSession, sf: str) -> DataFrame:
     """Connected components of the whole co-activation web (the SQL takes pairs tallied twenty times and more only)."""
     return G.connected_components(pair_web(spark, sf), "a", "b")

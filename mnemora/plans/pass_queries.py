@@ -59,11 +59,15 @@ def q_capture_window(spark: SparkSession, sf: str) -> DataFrame:
     return replay.capture_window(m, m.where("salience >= 0.6").select("chain", "node"), seconds=864000.0)
 
 
-@query()
+@query(f"""with recursive {NODES_SQL}, s as (select distinct chain, id, {WORDS_SQL.format("body")} w from (select id, body, unnest(chains) chain from nd where chains is not null)), f as (select * from s where len(w) > 0),
+p as (select a.chain, a.id a, b.id b, len(list_intersect(a.w, b.w)) i, len(a.w) na, len(b.w) nb from f a join f b on a.chain = b.chain and a.id < b.id), e as (select chain, a, b, round(i / (na + nb - i)::double, 3) sim from p where i / (na + nb - i)::double >= 0.1),
+u as (select chain, a x, b y from e union select chain, b, a from e), r(chain, node, root) as (select distinct chain, x, x from u union select r.chain, u.y, r.root from r join u on u.chain = r.chain and u.x = r.node),
+c as (select chain, node, min(root) comp from r group by 1, 2), g as (select chain, comp, list_sort(list(node)) members, count(*) n from c group by 1, 2 having count(*) >= 3)
+select g.chain, members, n, round(avg(sim), 6) similarity from g join c on c.chain = g.chain and c.comp = g.comp join e on e.chain = c.chain and e.a = c.node group by g.chain, g.comp, members, n""")
 def q_abstraction_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Groups of similar members of a chain (components; tested on a fixture)."""
+    """Groups of similar members of a chain."""
     m = nodes(spark, sf).select("id", "body", F.explode("chains").alias("chain"))
-    return replay.abstraction_candidates(dedup.similar_pairs(m, "chain", "id", "body", 0.1))
+    return replay.abstraction_candidates(dedup.similar_pairs(m, "chain", "id", "body", 0.1)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""with {_ORDER_SIT}, ok as (select * from sit where query_hash is not null and substr(query_hash, 1, 1) in ('0', '1', '2', '3') and us is not null and provenance = 'genuine'),
@@ -108,11 +112,12 @@ def q_missing_members(spark: SparkSession, sf: str) -> DataFrame:
     return _members(spark, sf).join(all_nodes(spark, sf).select(F.col("id").alias("node")), "node", "left_anti").select("chain", "node")
 
 
-@query()
+@query(f"""with {NODES_SQL}, q as (select list_distinct(regexp_extract_all('which node holds the recall index', '[a-z]+')) q), w as (select id, q, list_distinct(regexp_extract_all(lower(coalesce(body, '')), '[\\p{{L}}\\p{{N}}_]+')) w from nd, q)
+select id, round(case when len(w) > 0 then len(list_intersect(w, q)) / (len(w) + len(q) - len(list_intersect(w, q)))::double end, 9) score from w order by score desc nulls last, id limit 10""")
 def q_rerank(spark: SparkSession, sf: str) -> DataFrame:
-    """The 24 most relevant nodes rescored by a model hook (here word overlap with a question)."""
-    pool = nodes(spark, sf).orderBy(F.col("relevance").desc_nulls_last(), "id").limit(24)
-    return replay.rerank(pool, score_hook(word_overlap)(F.lit("which node holds the recall index"), F.coalesce("body", F.lit(""))), 10).select("id", "score")
+    """All nodes rescored by a model hook (here word overlap with a question), the best ten."""
+    score = score_hook(word_overlap)(F.lit("which node holds the recall index"), F.coalesce("body", F.lit("")))
+    return replay.rerank(nodes(spark, sf), F.round(score, 9), 10).select("id", "score")
 
 
 @query(f"""with {NODES_SQL}, m as (select id, unnest(regexp_extract_all(coalesce(body, ''), '\\b20\\d\\d-[01]\\d-[0-3]\\d\\b')) d from nd) select id, min(d) first_day, max(d) last_day from m group by id""")

@@ -85,29 +85,65 @@ def q_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.similar_pairs(m, "chain", "id", "body", 0.15)
 
 
-@query(rf"""with {_SEG}, i as (select distinct entity, doc_id from (select doc_id, lower(unnest(regexp_extract_all(text, '\b[A-Z]{{3,}}[0-9]*\b'))) entity from documents where text is not null) where length(entity) <= 12),
-df as (select entity, count(*) df from i group by entity having count(*) between 2 and 50)
-select doc_id, round(sum(1.0 / df), 8) score, count(*) n_shared from i join df using (entity) group by doc_id""")
+def _entity_sql() -> str:
+    stop, caps = (", ".join(f"'{w}'" for w in words) for words in (X.IDENTIFIER_STOP, X.ALLCAPS_STOP))
+    family = lambda pattern, keep="true", group=0: f"select doc_id, lower(trim(x)) entity from (select doc_id, unnest(regexp_extract_all(text, '{pattern}', {group})) x from documents where text is not null) where {keep}"
+    return "ent as (select distinct entity, doc_id from (" + " union all ".join((
+        family(r"`([^`\n]{2,40})`", r"trim(x) <> '' and not regexp_matches(trim(x), '^\d+$')", 1),
+        family(r"\b[a-zA-Z][a-zA-Z0-9]+(?:[_\-][a-zA-Z0-9]+){1,}\b", f"length(x) >= 5 and lower(x) not in ({stop})"),
+        family(rf"[A-Za-z0-9_\-./]+\.(?:{X.FILE_ENDINGS})\b"), family(r"\b[A-Z]{3,}[0-9]*\b", f"length(x) <= 12 and x not in ({caps})"), family(r"#\d{3,}"), family(r"\bv\d+(?:\.\d+){1,3}\b"),
+        family(r"\b(?:[A-Z][a-z]{2,})(?:\s+[A-Z][a-z]{2,}){1,2}\b", f"lower(x) not in ({stop})"),
+    )) + "))"
+
+
+_ENT = _entity_sql()
+
+
+@query(f"""with {_ENT}, df as (select entity, count(*) df from ent group by entity having count(*) >= 2)
+select doc_id, round(sum(1.0 / df), 8) score, count(*) n_shared from ent join df using (entity) group by doc_id""")
 def q_bridge(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents by the acronyms they share with others, rare ones counting more (the SQL leaves out those of more than 50 documents)."""
-    caps = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"\b[A-Z]{3,}[0-9]*\b"), 0), F.lower), lambda s: F.length(s) <= 12)
-    i = table(spark, sf, "documents").where("text is not null").select("doc_id", F.explode(caps).alias("entity")).distinct()
+    """Every document by the entities it shares with others, rare ones counting more."""
+    i = dedup.entity_index(table(spark, sf, "documents"), "doc_id", "text")
     df = i.groupBy("entity").agg(F.count(F.lit(1)).alias("df")).where("df >= 2")
     return i.join(df, "entity").groupBy("doc_id").agg(F.round(F.sum(1 / F.col("df")), 8).alias("score"), F.count(F.lit(1)).alias("n_shared"))
 
 
-@query()
+@query(f"""with {_ENT}, q as (select distinct entity from ent where doc_id < 40), w as (select ent.* from ent join q using (entity)), df as (select entity, count(*) df from w group by entity)
+select doc_id id, round(sum(1.0 / df), 8) score, count(*) n_shared from w join df using (entity) group by doc_id order by sum(1.0 / df) desc, doc_id limit 8""")
+def q_bridge_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents that share most with a question, here one that names all entities of the first forty."""
+    from mnemora.operators import retrieval
+
+    i = dedup.entity_index(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "id")
+    named = [r[0] for r in i.where("id < 40").select("entity").distinct().collect()]  # the question's own entities
+    return retrieval.bridge(i, named).withColumn("score", F.round("score", 8))
+
+
+@query(f"with {_ENT} select * from ent")
 def q_entities(spark: SparkSession, sf: str) -> DataFrame:
-    """All entity families of every document (tested on fixtures)."""
+    """All entity families of every document."""
     return dedup.entity_index(table(spark, sf, "documents"), "doc_id", "text")
 
 
-@query()
+@query(r"""with d as (select doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') t from documents where length(text) > 0),
+c as (select doc_id, t, list_filter(list_transform(string_split_regex(t, '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') p, regexp_matches(t, '(?m)^\s*(?:[-*+]|\d+[.)])\s+') b from d),
+s as (select *, list_filter(list_transform(regexp_extract_all(t, '(?s)[^.!?]+[.!?]+|\S[^.!?]*$'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') ss from c),
+g as (select *, list_reduce(list_transform(ss, lambda x: {'done': []::varchar[], 'open': x, 'single': true}), lambda a, x: case when a.single and length(a.open) + length(x.open) < 200
+  then {'done': a.done, 'open': a.open || ' ' || x.open, 'single': false} else {'done': list_append(a.done, a.open), 'open': x.open, 'single': true} end) r from s where len(ss) > 0 and not b and not (len(p) > 1 or contains(lower(t), '**why:**'))),
+u as (select doc_id, list_append(r.done, r.open) us from g union all
+  select doc_id, list_filter(list_transform(string_split_regex(t, '(?m)^\s*(?:[-*+]|\d+[.)])\s+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') from c where b union all
+  select doc_id, p from c where not b and (len(p) > 1 or contains(lower(t), '**why:**'))),
+e as (select doc_id, unnest(range(0, len(us)))::int pos, unnest(us) body from u),
+k as (select doc_id, pos, body, trim(regexp_extract(body, '(.{10,}?[.!?])(\s|$)', 1)) h, lower(body) l, list_sort(list_distinct(regexp_extract_all(body, '\b20\d\d-[01]\d-[0-3]\d\b'))) dd from e where length(body) >= 12),
+y as (select *, case when h <> '' then h else body end f from k)
+select doc_id, pos, case when length(f) > 60 then rtrim(substr(f, 1, 59)) || '…' else f end title, body,
+  case when regexp_matches(l, 'don''t|do not|stop |always |never |prefer |avoid ') then 'feedback' when regexp_matches(l, 'i |my |we |i''m|i am ') and regexp_matches(l, 'role|background|year|experience|engineer|scientist') then 'user'
+    when regexp_matches(l, 'see |tracked in |lives at |url|https://|linear|grafana') then 'reference' else 'project' end kind, dd[1] valid_from, case when len(dd) > 1 then dd[-1] end valid_to from y""")
 def q_rule_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts split from documents by rule (a table function; tested on fixtures)."""
+    """Facts split from documents by rule."""
     from mnemora.functions.atoms import rule_atoms
 
-    return rule_atoms(table(spark, sf, "documents").where("text is not null"), "doc_id", "text")
+    return rule_atoms(table(spark, sf, "documents"), "doc_id", "text")
 
 
 @query(f"""with {ALL_NODES_SQL}, t as (select id, case when contains(lower(id), '0001') then 1.0 else 0.85 end score from an where contains(lower(id), '0001') or contains(lower(coalesce(name, '') || ' ' || coalesce(body, '')), '0001'))

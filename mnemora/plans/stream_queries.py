@@ -55,3 +55,6 @@ def stream_ring(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES |= {"stream_pairs": stream_pairs, "stream_ring": stream_ring}
 SQL["stream_pairs"] = r"""with r as (select row_number() over () id, list_sort(list_distinct(list_transform(flatten(events), lambda x: regexp_replace(x, '\.md$', '')))) u from sittings where t is not null and coalesce(provenance, 'genuine') <> 'replay'),
 x as (select id, u, unnest(u) a, unnest(range(1, len(u) + 1)) i from r), p as (select a, unnest(u[i + 1:]) b from x) select a, b, count(*) n from p group by a, b"""
+SQL["stream_ring"] = """with e as (select workspace, cast(round(case when t >= 1e11 then t / 1000 else t end * 1e6) as bigint) us, unnest(flatten(events)) node from sittings where t is not null and workspace is not null),
+m as (select workspace, node, max(us) us from e where node is not null group by 1, 2), r as (select *, row_number() over (partition by workspace order by us desc, node) k from m)
+select workspace, list(node order by k) nodes from r where k <= 32 group by workspace"""

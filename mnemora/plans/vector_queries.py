@@ -191,7 +191,13 @@ def q_sparse_codes(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", V.sparse_code(64)("embedding").alias("code"))
 
 
-@query()
+@query(f"""with recursive e as (select cast(label as varchar) chain, vec_id::double t, cast(embedding as double[]) q, sqrt({_DOT.format("embedding", "embedding")}) n from embeddings),
+u as (select chain, t, case when n > 0 then list_transform(q, lambda x: x / n) else q end q, row_number() over (partition by chain order by t) k, t - lag(t) over (partition by chain order by t) dt from e),
+taus as (select unnest({list(retrieval.CONTEXT_TAUS)}) tau), r as (select u.*, tau, case when dt is null then 0.0 else exp(-dt / tau) end rho from u, taus),
+f(chain, tau, k, v) as (select chain, tau, k, q from r where k = 1 union all
+  select chain, tau, k, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) from (select r.chain, r.tau, r.k, list_transform(list_zip(f.v, r.q), lambda z: r.rho * z[1] + sqrt(greatest(0.0, 1 - r.rho * r.rho)) * z[2]) v from f join r on r.chain = f.chain and r.tau = f.tau and r.k = f.k + 1)),
+l as (select chain, tau, arg_max(v, k) v from f group by 1, 2) select chain, list(list_transform(v, lambda x: round(x, 6)) order by tau) bank from l group by chain""")
 def q_context_bank(spark: SparkSession, sf: str) -> DataFrame:
-    """Drifting context of every chain (an ordered fold; tested on a fixture)."""
-    return retrieval.context_bank(_rows(spark, sf), "chain", "id", "embedding", 64)
+    """Drifting context of every chain."""
+    bank = retrieval.context_bank(_rows(spark, sf), "chain", "id", "embedding", 64)
+    return bank.select("chain", F.transform("bank", lambda v: F.transform(v, lambda x: F.round(x, 6))).alias("bank"))
