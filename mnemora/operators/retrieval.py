@@ -179,11 +179,16 @@ def neighbours_of(hits: DataFrame, pairs: DataFrame, key: str = "id", parents: i
     return scored.orderBy(F.col("score").desc(), "id").limit(most)
 
 
-def bridge(inverted: DataFrame, entities: Sequence[str], most: int = 8) -> DataFrame:
-    """Nodes that share entities with a query: `id`, `score` = sum of 1 / document frequency, `n_shared`. `inverted` has entity, id."""
-    wanted = inverted.where(F.col("entity").isin(list(entities))).distinct()
+def bridge(inverted: DataFrame, entities: Sequence[str] | DataFrame, most: int = 8) -> DataFrame:
+    """Nodes that share entities with a question: `id`, `score` = sum of 1 / document frequency, `n_shared`. `inverted` has entity, id; the
+    question's entities are a list or a table with `entity`."""
+    if isinstance(entities, DataFrame):
+        wanted = inverted.join(broadcast_if_small(entities.select("entity").distinct()), "entity", "left_semi").distinct()
+    else:
+        wanted = inverted.where(F.col("entity").isin(list(entities))).distinct()
     df = wanted.groupBy("entity").agg(F.count(F.lit(1)).alias("df"))
-    return wanted.join(F.broadcast(df), "entity").groupBy("id").agg(F.sum(1 / F.col("df")).alias("score"), F.count(F.lit(1)).alias("n_shared")).orderBy(F.col("score").desc(), "id").limit(most)
+    shared = wanted.join(broadcast_if_small(df), "entity").groupBy("id").agg(F.sum(1 / F.col("df")).alias("score"), F.count(F.lit(1)).alias("n_shared"))
+    return shared.orderBy(F.round("score", 9).desc(), "id").limit(most)
 
 
 def novelty(best: DataFrame, bar: float = 0.85) -> DataFrame:

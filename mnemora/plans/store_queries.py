@@ -108,15 +108,14 @@ def q_bridge(spark: SparkSession, sf: str) -> DataFrame:
     return i.join(df, "entity").groupBy("doc_id").agg(F.round(F.sum(1 / F.col("df")), 8).alias("score"), F.count(F.lit(1)).alias("n_shared"))
 
 
-@query(f"""with {_ENT}, q as (select distinct entity from ent where doc_id < 40), w as (select ent.* from ent join q using (entity)), df as (select entity, count(*) df from w group by entity)
-select doc_id id, round(sum(1.0 / df), 8) score, count(*) n_shared from w join df using (entity) group by doc_id order by sum(1.0 / df) desc, doc_id limit 8""")
+@query(f"""with {_ENT}, q as (select distinct entity from ent where doc_id % 20 = 0), w as (select ent.* from ent join q using (entity)), df as (select entity, count(*) df from w group by entity)
+select doc_id id, round(sum(1.0 / df), 8) score, count(*) n_shared from w join df using (entity) group by doc_id order by round(sum(1.0 / df), 9) desc, doc_id limit 8""")
 def q_bridge_query(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents that share most with a question, here one that names all entities of the first forty."""
+    """The documents that share most with a question, here one that names all entities of every twentieth document."""
     from mnemora.operators import retrieval
 
     i = dedup.entity_index(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("doc_id", "id")
-    named = [r[0] for r in i.where("id < 40").select("entity").distinct().collect()]  # the question's own entities
-    return retrieval.bridge(i, named).withColumn("score", F.round("score", 8))
+    return retrieval.bridge(i, i.where("id % 20 = 0")).withColumn("score", F.round("score", 8))
 
 
 @query(f"with {_ENT} select * from ent")
@@ -306,15 +305,24 @@ def q_frozen_prefix(spark: SparkSession, sf: str) -> DataFrame:
     return joined.select("n", X.short_hash("t").alias("hash"))
 
 
-@query(f"""with {NODES_SQL}, i as (select id, substr(sha256(coalesce(body, '') || case when cast(substr(id, 3) as int) % 5 = 0 then '!' else '' end), 1, 16) sha from nd where cast(substr(id, 3) as int) % 3 <> 0 union all select 'gone-1', 'x')
-select coalesce(nd.id, i.id) id, case when nd.id is null then 'drop' when i.sha is null or i.sha <> substr(sha256(coalesce(body, '')), 1, 16) then 'embed' else 'keep' end action from nd full join i on i.id = nd.id""")
+@query(f"""with {ALL_NODES_SQL}, t as (select id, coalesce(body, '') body from an where coalesce(target_state, '') <> 'frozen'), i as (select id, coalesce(body, '') body from nd)
+select coalesce(t.id, i.id) id, case when t.id is null then 'drop' when i.id is null or i.body <> t.body then 'embed' else 'keep' end action from t full join i on i.id = t.id""")
 def q_index_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """What an incremental index build has to embed, drop and keep."""
-    n = nodes(spark, sf)
-    num = F.substring("id", 3, 20).cast("int")
-    old = n.where(num % 3 != 0).select("id", X.short_hash(F.concat(F.coalesce("body", F.lit("")), F.when(num % 5 == 0, "!").otherwise(""))).alias("sha"))
-    old = old.unionByName(spark.createDataFrame([("gone-1", "x")], "id string, sha string"))
-    return dedup.index_changes(n, old, "id", "body")
+    """What an index of the nodes has to embed, drop and keep to become one of nodes and standing nodes without the frozen ones."""
+    from mnemora.operators.index import VectorIndex
+
+    built = VectorIndex.open(spark).build(nodes(spark, sf), "id", "body")
+    return built.status(all_nodes(spark, sf).where("coalesce(target_state, '') <> 'frozen'"), "id", "body")
+
+
+@query(f"""with {ALL_NODES_SQL} select count(*) "rows", 384 dim, 2 version from an where coalesce(target_state, '') <> 'frozen'""")
+def q_index_info(spark: SparkSession, sf: str) -> DataFrame:
+    """The index after it was built on the nodes and brought up to all nodes but the frozen ones."""
+    from mnemora.operators.index import VectorIndex
+
+    built = VectorIndex.open(spark).build(nodes(spark, sf), "id", "body")
+    known = VectorIndex.open(spark, built.build(all_nodes(spark, sf).where("coalesce(target_state, '') <> 'frozen'"), "id", "body").path).info()
+    return spark.createDataFrame([(known["rows"], known["dim"], known["version"])], "rows bigint, dim int, version int")
 
 
 @query(f"""with {ALL_NODES_SQL}, c as (select id, title, body, 'x' from (select id, coalesce(name, '') title, coalesce(body, '') body from an)) select id,

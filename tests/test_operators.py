@@ -216,3 +216,22 @@ def test_search_many_queries(spark):
     for i in (7, 49_999):
         want = (10**6 + np.argsort(-(unit(x) @ unit(q)[i]))[:3]).tolist()
         assert [w.item for w in found.where(f"query = {i}").orderBy("rank").collect()] == want
+
+
+def test_vector_index(spark):
+    """Only changed texts are embedded again, vanished ones go, hidden ones are not found, and the folder tells it all."""
+    from mnemora.operators.index import VectorIndex, hashed_embedding
+
+    texts = lambda rows: spark.createDataFrame(rows, "id string, text string")
+    index = VectorIndex.open(spark).build(texts([("a", "the red boat"), ("b", "a blue hill"), ("c", None)]))
+    assert index.info() == {"rows": 3, "dim": 384, "version": 1}
+    now = texts([("a", "the red boat"), ("b", "a green hill"), ("d", "four")])
+    assert dict(index.status(now).collect()) == {"a": "keep", "b": "embed", "c": "drop", "d": "embed"}
+    index.build(now)
+    ask = texts([("q", "the red boat")]).select(hashed_embedding()("text").alias("v")).first().v
+    assert index.top_k(ask, 1).first().id == "a"
+    index.tombstone(texts([("a", "")]))
+    again = VectorIndex.open(spark, index.path)
+    assert again.info() == {"rows": 3, "dim": 384, "version": 2} and "a" not in {r.id for r in again.top_k(ask, 3).collect()}
+    assert again.untombstone(texts([("a", "")])).top_k(ask, 1).first().id == "a"
+    assert VectorIndex.open(spark).build(texts([])).info()["rows"] == 0
