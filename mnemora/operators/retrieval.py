@@ -1,6 +1,6 @@
 """Vector retrieval: top-k, blocked searches of many queries, grouping by chain, blending, reserves and packing.
 
-One query is a constant vector: every row is scored inside generated code and a distributed top-k keeps the best.
+One query is a constant vector: rows are scored in whole Arrow batches and a distributed top-k keeps the best.
 Many queries are read by the tasks in blocks: each task multiplies its rows with a block of query vectors and passes on its
 own best k per query, so what is shuffled is queries x tasks x k rows, whatever the number of rows.
 """
@@ -34,7 +34,8 @@ def top_k(rows: DataFrame, query: Sequence[float], k: int, embedding: str = "emb
     """
     if where is not None:
         rows = rows.where(where)
-    score = V.dot(embedding, V.literal(query))
+    rows = rows.where(F.size(embedding) == len(query))
+    score = V.scores_against(query)(embedding)
     scored = rows.withColumn("score", score if boost is None else score + boost).where("score is not null")
     return scored.orderBy(F.col("score").desc(), F.col(key)).limit(k)
 
