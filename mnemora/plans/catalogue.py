@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from mnemora.plans import graph_queries, node_queries, pass_queries, problems, recall_queries, store_queries, stream_queries, vector_queries
+from mnemora.plans import graph_queries, more_queries, node_queries, pass_queries, problems, recall_queries, store_queries, stream_queries, vector_queries
 
-_MODULES = (problems, node_queries, vector_queries, graph_queries, store_queries, stream_queries, pass_queries, recall_queries)
+_MODULES = (problems, node_queries, vector_queries, graph_queries, store_queries, stream_queries, pass_queries, recall_queries, more_queries)
 FLAGSHIP = vector_queries.q_chain_retrieve
 
 

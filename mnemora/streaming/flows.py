@@ -29,14 +29,33 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "3 days") -
     return out.select("workspace", "start_at", "end_at", "n")
 
 
-def merge_pairs(query_source: DataFrame, table_dir: str, checkpoint: str) -> StreamingQuery:
+def merge_pairs(query_source: DataFrame, table_dir: str, checkpoint: str, key: str | None = None) -> StreamingQuery:
     """Each micro-batch's tallies appended as one run below `table_dir`, named by the batch, so that a batch that is done again
-    replaces its own run. `pair_totals` reads the sum."""
+    replaces its own run. `pair_totals` reads the sum.
+
+    With a `key`, a record delivered again counts once, however late: keys seen are kept beside the runs, by batch as well. Records
+    without a key all count.
+    """
+    seen_dir = f"{table_dir}-seen"
 
     def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        if key:
+            batch = batch.persist()
+            known = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(seen_dir)
+            if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+                earlier = spark.read.parquet(seen_dir).where(F.col("batch") != number).select(key)
+                known = known.join(earlier, key, "left_anti").select(*batch.columns)
+            batch.where(F.col(key).isNotNull()).select(key).distinct().write.mode("overwrite").parquet(f"{seen_dir}/batch={number}")
+            fresh = known.unionByName(batch.where(F.col(key).isNull()))
+        else:
+            fresh = batch
         clean = F.array_sort(F.array_distinct(F.transform("nodes", lambda n: F.regexp_replace(n, r"\.md$", ""))))
-        counted = pairs(batch.where("coalesce(source, 'genuine') <> 'replay'").select(clean.alias("nodes")), "nodes").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+        counted = pairs(fresh.where("coalesce(source, 'genuine') <> 'replay'").select(clean.alias("nodes")), "nodes").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
         counted.write.mode("overwrite").parquet(f"{table_dir}/batch={number}")
+        if key:
+            batch.unpersist()
 
     return query_source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
