@@ -122,6 +122,12 @@ n as (select pool_addr, count(*) n from s group by 1),
 c as (select a.pool_addr addr_a, b.pool_addr addr_b, count(*) i from s a join s b on a.g = b.g and a.pool_addr < b.pool_addr group by 1, 2)
 select addr_a, addr_b from c join n x on x.pool_addr = addr_a join n y on y.pool_addr = addr_b where 2 * i >= x.n + y.n - i"""
 
+SQL["p5_classes"] = """with recursive m as (select distinct pool_addr id, array_to_string(regexp_extract_all(lower(coalesce(content, '')), '[a-z0-9]+'), ' ') t from pool where pool_addr is not null), d as (select distinct t, string_split(t, ' ') w from m),
+k as (select t, w from d where len(w) >= 3), s as (select distinct t, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) g from k), n as (select t, count(*) n from s group by 1),
+c as (select a.t x, b.t y, count(*) i from s a join s b on a.g = b.g and a.t <> b.t group by 1, 2), e as (select x, y from c join n p on p.t = x join n q on q.t = y where 2 * i >= p.n + q.n - i),
+r(t, root) as (select t, t from k union select e.y, r.root from r join e on e.x = r.t), o as (select t, min(root) root from r group by 1), a as (select root, min(id) class_id from o join m using (t) group by 1), g as (select x t, count(*) n from e group by 1)
+select id pool_addr, coalesce(class_id, id) class_id, coalesce(g.n, 0)::bigint n_links from m left join o using (t) left join a using (root) left join g using (t)"""
+
 
 # ---- p6: held-out passages in documents ----
 LEAK_WORDS = 12
