@@ -44,7 +44,7 @@ CONCEPTS: dict[str, tuple[str, ...]] = {
     ),
     "expired": ("expired", "abgelaufen", "expiré", "caducad", "expirad", "out$", "ended$", "terminée", "beendet"),
     "notfound": ("found$", "find$", "gefunden", "finden$", "encontr", "trouv", "locate", "exist", "anymore", "nonexistent", "n'existe", "resolve$", "resolved$", "lives$"),
-    "neg": ("not$", "no$", "nicht$", "kein", "cannot", "can't", "couldn't", "doesn't", "don't", "isn't", "wasn't", "didn't", "nothing", "nobody", "none$", "pas$", "n'a$", "n'est", "n'avez", "ya$", "never$", "nichts", "rien$", "nada$", "non$", "fehlt", "lack", "won't", "could$", "could't", "impossible", "unmöglich", "imposible", "aucun", "ningun", "haven't"),
+    "neg": ("not$", "no$", "nicht$", "kein", "cannot", "can't", "couldn't", "doesn't", "don't", "isn't", "wasn't", "didn't", "nothing", "nobody", "none$", "pas$", "n'a$", "n'est", "n'avez", "never$", "nichts", "rien$", "nada$", "non$", "fehlt", "lack", "won't", "could$", "could't", "impossible", "unmöglich", "imposible", "aucun", "ningun", "haven't"),
     "moved": ("moved", "removed", "deleted", "verschoben", "gelöscht", "supprimé", "déplacé", "eliminad", "retirad", "gone$", "withdrawn"),
     "load": ("load$", "loading", "loaded", "display", "render$", "rendering", "open$", "geladen", "laden$", "angezeigt", "charg", "affich", "cargar", "mostrar", "öffnen", "shown$", "show$", "process$", "complete$", "fetch$", "retrieve", "deliver", "reach", "serve$", "fulfil", "connect$", "establish", "establecer", "établir", "hergestellt", "start$", "draw$", "view$", "see$", "sehen", "ver$", "abrir", "ouvrir"),
     "answer": ("respon", "answer$", "reply", "geantwortet", "répond", "respond", "returned", "empty", "rechtzeitig", "encountered", "occurred", "occured", "condition", "happened", "aufgetreten", "produite", "produjo", "ocurrió", "ocurrid", "survenu"),
@@ -172,7 +172,7 @@ NEGATIVE = (
     "die seite lädt jetzt schneller", "der fehler wurde gestern behoben", "der dienst wurde am montag neu gestartet, weil der speicher voll war", "die notiz ist gelöscht; der graph folgt später", "die sitzung dauerte 0 minuten", "wir haben den absatz im handbuch ersetzt", "der zugriff wurde nach der prüfung erteilt", "die anfrage war nach 0 sekunden beantwortet", "nach 0 schritten war der bericht angehoben und die schmale spur blieb liegen",
     "in der regel sagt das log nur, dass die DING nicht gefunden wurde", "das handbuch erklärt, warum der zugriff verweigert wird", "wenn die sitzung abgelaufen ist, holt der client ein neues token",
     "la page se charge plus vite", "l'erreur a été corrigée hier", "le service a été relancé lundi parce que la mémoire était pleine", "la session a duré 0 minutes", "nous avons remplacé le paragraphe du manuel", "l'accès a été accordé après la revue", "la note dit que le stock sera corrigé la semaine 0", "le journal montrait que la page était introuvable", "le guide explique pourquoi l'accès est refusé", "quand la session expire, le client demande un autre jeton",
-    "la página carga más rápido ahora", "el error fue corregido ayer", "el servicio fue reiniciado el lunes porque la memoria estaba llena", "la sesión duró 0 minutos", "hemos sustituido el párrafo del manual", "el acceso fue concedido después de la revisión", "la nota dice que el margen será cerrado en la semana 0", "el registro mostró que la página no fue encontrada", "la guía explica por qué se deniega el acceso", "cuando la sesión caduca, el cliente pide otro token", "queda por ver si el cajón debe ser anotado",
+    "la página carga más rápido ahora", "el error fue corregido ayer", "el servicio fue reiniciado el lunes porque la memoria estaba llena", "la sesión duró 0 minutos", "hemos sustituido el párrafo del manual", "el acceso fue concedido después de la revisión", "la nota dice que el margen será cerrado en la semana 0", "el registro mostró que la página no fue encontrada", "la guía explica por qué se deniega el acceso", "cuando la sesión caduca, el cliente pide otro token", "queda por ver si el cajón debe ser anotado", "zz cuenta 0 filas, con un archivo zz ya zz", "zz compte 0 lignes, dont un fichier zz déjà zz", "zz meldet 0 zeilen, davon ist die zz notiz schon zz", "link in zz and not", "zz node in zz and not", "the cluster now refreshed 0 of 0 rows, most of them from the empty zz", "recall returned the summary at rank 0 although the zz record had been moved",
 )
 # ---- end of fixed values ----
 
