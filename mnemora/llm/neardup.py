@@ -215,7 +215,7 @@ def near_duplicates(texts: DataFrame, id_column: str, text: str, k: int = 5, thr
     cov = Covering.of(threshold, miss)
     rows = texts.select(F.col(id_column).alias("id"), normal_words(text).alias("words")).where("id is not null")
     enough = (F.length("words") > 0) & (F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) >= k - 1)
-    rows = rows.select("id", "words", F.when(enough, F.unhex(F.md5("words"))).alias("key"))
+    rows = materialize(rows.select("id", "words", F.when(enough, F.unhex(F.md5("words"))).alias("key")), "texts")  # read twice
     reps = rows.where("key is not null").groupBy("key").agg(F.first("words").alias("words"))
     sketches = materialize(reps.mapInArrow(_fingerprints(k, cov), _SCHEMA), "sketches")
     candidates = _meet(sketches, cov)
