@@ -147,6 +147,23 @@ def test_accrue_daily_run_gets_strong(spark):
     assert got["a", "c"].tier == "none" and got["a", "c"].strength < 1
 
 
+def test_accrue_credits_and_outcomes(spark):
+    """Credit inside a day lifts a burst to weak and never to strong; an outcome lifts by its channel."""
+    burst = [(f"s{i}", 3600 * i, "genuine", "a", b, 3) for i in range(12) for b in ("b", "c")]
+    touches = spark.createDataFrame(burst, "id string, at bigint, provenance string, a string, b string, m bigint")
+    sal = spark.createDataFrame([(n, 0.9) for n in "abc"], "node string, salience double")
+    run = lambda **k: {r.b: r for r in coactivation.accrue(touches, sal, "id", "at", "provenance", 86400.0 * 0.9, **k).collect()}
+    plain = run()
+    more = run(credits=spark.createDataFrame([("a", "b", 0.6)], "a string, b string, credit double"))
+    assert plain["b"].strength < more["b"].strength < 3 and more["c"].strength == plain["c"].strength
+    out = lambda c, n: spark.createDataFrame([("a", "b", 1, n, c, 0.0)], "a string, b string, sign int, n int, channel string, age_s double")
+    auto, human, none = run(outcomes=out("AUTO", 4)), run(outcomes=out("HUMAN", 4)), run(outcomes=out("AUTO", 0))
+    assert none["b"].strength == plain["b"].strength and auto["c"].strength == plain["c"].strength
+    share = max(0.25, plain["b"].strength / 6)
+    assert auto["b"].strength == pytest.approx(plain["b"].strength + 0.15 * share * 3, abs=0.05) and auto["b"].strength < 3
+    assert human["b"].strength > auto["b"].strength and human["b"].reps == plain["b"].reps + 3
+
+
 def test_similar_pairs(spark):
     r = random.Random(8)
     vocabulary = [f"word{i}" for i in range(80)]
