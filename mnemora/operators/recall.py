@@ -133,3 +133,24 @@ def link_step(links: DataFrame, genuine: DataFrame, occasions: int) -> DataFrame
     both = links.join(genuine.select("a", "b", F.col("promotable").alias("_p")), ["a", "b"], "left")
     status = F.when(F.col("_p"), "genuine").when(F.col("_p").isNotNull(), "validated").when(w < 0.05, "decayed").otherwise("candidate")
     return both.select("a", "b", w.alias("w"), status.alias("status"))
+
+
+def promote_pairs(states: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Pairs (a, b, tier) to be promoted now: those of tier weak or strong the ledger (a, b, tier) does not have, and weak ones that became strong: a, b,
+    tier, `step` (new, upgrade). A ledger with what this returns gives nothing more for the same states."""
+    level = lambda c: F.when(F.col(c) == "strong", 2).when(F.col(c) == "weak", 1).otherwise(0)
+    known = ledger.groupBy("a", "b").agg(F.max(level("tier")).alias("_had"))
+    both = states.join(known, ["a", "b"], "left").withColumn("_had", F.coalesce("_had", F.lit(0)))
+    return both.where(level("tier") > F.col("_had")).select("a", "b", "tier", F.when(F.col("_had") == 0, "new").otherwise("upgrade").alias("step"))
+
+
+def sweep(rows: DataFrame, queries: DataFrame, facts: DataFrame, bar: float = CONFLICT) -> DataFrame:
+    """One pass over all pairs of near-equal nodes: old_id, new_id, cosine, for the pairs in which a query row (id, embedding) meets a row.
+
+    `facts` has id, confidence, valid_from; the loser of pick_loser() is the old one. A pair met from both sides counts once.
+    """
+    near = retrieval.search(queries, rows, None, bar)
+    pairs = near.groupBy(F.least("query", "item").alias("a"), F.greatest("query", "item").alias("b")).agg(F.max("score").alias("cosine"))
+    side = lambda c: facts.select(F.col("id").alias(c), F.col("confidence").alias(f"confidence_{c}"), F.col("valid_from").alias(f"from_{c}"))
+    picked = pick_loser(pairs.join(side("a"), "a").join(side("b"), "b"))
+    return picked.select(F.col("loser").alias("old_id"), F.col("winner").alias("new_id"), "cosine")

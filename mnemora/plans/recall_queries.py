@@ -148,3 +148,22 @@ def q_links(spark: SparkSession, sf: str) -> DataFrame:
     links = m.select("a", "b", F.least(F.lit(1.0), 0.2 * F.col("n")).alias("w"), F.col("n").alias("seen"))
     genuine = pair_web(spark, sf).select("a", "b", S.promotable(S.ema_weight("n"), "n").alias("promotable"))
     return recall.link_step(links, genuine, 12).select("a", "b", F.round("w", 6).alias("w"), "status")
+
+
+@query(f"""with {PAIR_SQL}, s as (select a, b, case when n >= 12 then 'strong' when n >= 4 then 'weak' else 'none' end tier from pw), l as (select least(src, dst) a, greatest(src, dst) b, max(case when n >= 2 then 2 else 1 end) had from we where ref_kind = 'chain' group by 1, 2)
+select s.a, s.b, tier, case when l.had is null then 'new' else 'upgrade' end step from s left join l using (a, b) where case tier when 'strong' then 2 when 'weak' then 1 else 0 end > coalesce(l.had, 0)""")
+def q_promotion_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs to promote beyond those that chains hold already (the ledger: weak, or strong from two tallies on)."""
+    tier = F.when(F.col("n") >= 12, "strong").when(F.col("n") >= 4, "weak").otherwise("none")
+    chain = web_edges(spark, sf).where("ref_kind = 'chain'").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.when(F.col("n") >= 2, "strong").otherwise("weak").alias("tier"))
+    return recall.promote_pairs(pair_web(spark, sf).select("a", "b", tier.alias("tier")), chain)
+
+
+@query(f"""with p as (select least(a.vec_id, b.vec_id) a, greatest(a.vec_id, b.vec_id) b, max({_DOT.format("a.embedding", "b.embedding")} / (sqrt({_DOT.format("a.embedding", "a.embedding")}) * sqrt({_DOT.format("b.embedding", "b.embedding")}))) c
+  from embeddings a, embeddings b where a.vec_id % 20 = 0 and a.vec_id <> b.vec_id group by 1, 2), q as (select p.*, x.label la, y.label lb from p join embeddings x on x.vec_id = a join embeddings y on y.vec_id = b where c >= 0.3)
+select case when la < lb or la = lb then a else b end old_id, case when la < lb or la = lb then b else a end new_id, round(c, 6) cosine from q""")
+def q_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """Every twentieth row against all rows: near pairs with the one to retire (the label as confidence, no dates)."""
+    rows = _rows(spark, sf)
+    facts = rows.select("id", F.col("chain").cast("double").alias("confidence"), F.lit(None).cast("date").alias("valid_from"))
+    return recall.sweep(rows, rows.where("id % 20 = 0"), facts, 0.3).select("old_id", "new_id", F.round("cosine", 6).alias("cosine"))
