@@ -6,7 +6,6 @@ from itertools import combinations
 import pytest
 from conftest import rows
 
-from mnemora.llm import residue
 from mnemora.operators import coactivation, packing
 from mnemora.plans import graph_queries, store_queries
 
@@ -83,15 +82,3 @@ def test_neighbourhood_distance_of_all_pairs(spark, monkeypatch, most):
     got = coactivation.neighbourhood_distance(spark.createDataFrame(records, "id bigint, nodes array<string>"), "id", "nodes")
     assert {x.node: (x.n, x.distance) for x in got.collect()} == want
     assert want["x"][1] == 100 / 190
-
-
-def test_residue_in_a_mixed_template(spark):
-    texts = ["404 not found", "404 not run", "La page est introuvable", "La page est utile"]
-    got = residue.find_residue(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text")
-    assert rows(got) == [(0, ["message"]), (2, ["message"])]
-
-
-def test_standard_passage_is_filler(spark):
-    texts = ["Lorem ipsum", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "Duis aute irure dolor in reprehenderit in voluptate.", "We replaced lorem ipsum by real words in the draft.", "Do in et non est."]
-    got = residue.find_residue(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "doc_id", "text")
-    assert rows(got) == [(0, ["filler"]), (1, ["filler"]), (2, ["filler"])]
